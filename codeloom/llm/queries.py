@@ -43,9 +43,54 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_counts
+
+    return secret_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+#: The extra conversation of the contract: it says the control strings of the format.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.unionByName(extra)))
+
+
+ORACLE: dict[str, str] = {
+    "op10_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), said AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS escaped,
+    replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS named
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### : ' || named || escaped || ' </turn>' || chr(10)))::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid_order
+FROM said GROUP BY conv_id""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_pieces, op6_toxicity, op7_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_pieces, op6_toxicity, op7_decontamination, op8_secrets, op9_pseudonyms, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -145,14 +145,15 @@ def union_lengths(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limit: int | None = None, width: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array of the concatenated segments by refinement of unsorted groups (Larsson and Sadakane).
 
     tokens: non-negative integers, sorted as integers. segment: of each position, non-decreasing; a suffix
     ends with its segment. ends: of each position, the end of its segment. The suffixes are first ordered by
     one token; each round then orders every group that isn't a single suffix by the rank that the suffix has
     `step` positions on, and doubles the step. limit: prefixes of that many tokens are told apart, no more.
-    Returns the array, and the rank of each position at prefix lengths 1, 2, 4 and so on.
+    width: how many positions a token tells apart already. Returns the array, and, for a width of 1, the rank of
+    each position at prefix lengths 1, 2, 4 and so on.
     """
     n = len(tokens)
     if not n:
@@ -164,8 +165,8 @@ def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limi
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = head
-    levels = [rank.copy()]
-    step = 1
+    levels = [rank.copy()] if width == 1 else []
+    step = width
     single = new & np.append(new[1:], True)
     active = np.flatnonzero(~single)  # places in the array whose group isn't a single suffix
     while len(active) and (limit is None or step < limit):
@@ -183,7 +184,8 @@ def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limi
         head = active[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         rank[at] = head
         step *= 2
-        levels.append(rank.copy())
+        if width == 1:
+            levels.append(rank.copy())
         single = new & np.append(new[1:], True)
         # suffixes that end at the same length and are equal stay together: they can't be told apart
         stuck = key < 0

@@ -24,6 +24,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array_dedup import remove_repeated_strings
+
+    return remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digest_documents
 
@@ -89,7 +101,7 @@ FROM said GROUP BY conv_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_pieces, op6_toxicity, op7_decontamination, op8_secrets, op9_pseudonyms, op10_chat)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op4_suffix_array_dedup, op5_pieces, op6_toxicity, op7_decontamination, op8_secrets, op9_pseudonyms, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_words
 
@@ -101,7 +107,7 @@ FROM said GROUP BY conv_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op4_suffix_array_dedup, op5_pieces, op6_toxicity, op7_decontamination, op8_secrets, op9_pseudonyms, op10_chat)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_substring_dedup, op4_suffix_array_dedup, op5_pieces, op6_toxicity, op7_decontamination, op8_secrets, op9_pseudonyms, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

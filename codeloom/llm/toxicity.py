@@ -85,36 +85,41 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _present(texts: pa.Array, feature: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each chunk: its first text, and the pairs of text and bucket, once each, for buckets whose feature isn't -1."""
+    for chunk in A.chunks(texts, 1 << 20):
+        pairs = np.zeros(0, np.int64)
+        for buckets, row in _grams(chunk):
+            some = np.flatnonzero((row >= 0) & (feature[buckets] >= 0))
+            pairs = np.union1d(pairs, (row[some].astype(np.int64) << BUCKET_BITS) + buckets[some])
+        yield chunk.first, pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, penalty: float = 0.0003, rounds: int = 200) -> Model:
     """Ratios, choice of buckets, and the regression."""
     none = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return Model(none, np.zeros(0), -40.0 if share == 0 else 40.0)
-    docs, grams = [], []
-    for chunk in A.chunks(texts):
-        found = [np.unique((row[row >= 0].astype(np.int64) << BUCKET_BITS) + buckets[row >= 0]) for buckets, row in _grams(chunk)]
-        if found:
-            pairs = np.unique(np.concatenate(found))
-            docs.append((pairs >> BUCKET_BITS) + chunk.first)
-            grams.append((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
-    if not docs:
-        return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
-    doc, gram = np.concatenate(docs), np.concatenate(grams)
     y = toxic.astype(np.float64)
     weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     weight /= weight.mean()
     size = 1 << BUCKET_BITS
-    with_toxic = np.bincount(gram, weights=y[doc], minlength=size)
-    with_other = np.bincount(gram, minlength=size) - with_toxic
+    # twice over the sample, a chunk at a time: first how many texts have each bucket, then the chosen buckets of each text
+    with_toxic, with_other = np.zeros(size), np.zeros(size)
+    for first, doc, gram in _present(texts, np.zeros(size, dtype=np.int32)):
+        with_toxic += np.bincount(gram, weights=y[first + doc], minlength=size)
+        with_other += np.bincount(gram, weights=1 - y[first + doc], minlength=size)
     p, q = (with_toxic + 0.5) / (y.sum() + 1), (with_other + 0.5) / ((1 - y).sum() + 1)
     ratio = np.log(p / q)
     evidence = np.where(with_toxic + with_other >= 4, np.abs(p - q) * np.abs(ratio), 0)
     chosen = np.argsort(-evidence, kind="stable")[: min(MAX_FEATURES, int((evidence > 0).sum()))]
+    if not len(chosen):
+        return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
     feature = none.copy()
     feature[chosen] = np.arange(len(chosen))
-    at = feature[gram]
-    doc, at = doc[at >= 0], at[at >= 0]
+    found = [(first + doc, feature[gram]) for first, doc, gram in _present(texts, feature)]
+    doc, at = (np.concatenate(x) for x in zip(*found))
     scaled = ratio[chosen]
     n, m = len(y), len(chosen)
     value = scaled[at]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_CEILING, Decimal, localcontext
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +67,6 @@ def exact_price(tokens_in: str, tokens_out: str, rate_in: str, rate_out: str) ->
 
 
 def exact_price_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def price(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([exact_price(*map(str, x)) for x in zip(a, b, c, d)])

@@ -192,8 +192,8 @@ def insert_docstring(source: str, line: int, text: str) -> str:
     node = next(n for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.lineno == line)
     lines, first = source.split("\n"), node.body[0]
     indent = " " * first.col_offset if first.lineno != node.lineno else " " * (node.col_offset + 4)
-    quoted = ['"""' + text.replace("\\", "\\\\").replace('"""', '\\"\\"\\"').split("\n")[0], *text.replace("\\", "\\\\").replace('"""', '\\"\\"\\"').split("\n")[1:]]
-    quoted[-1] += '"""'
+    safe = re.sub(r'"(?="")|"$', r'\\"', text.replace("\\", "\\\\"))
+    quoted = f'"""{safe}"""'.split("\n")
     block = [indent + x if x else x for x in quoted]
     has = ast.get_docstring(node, clean=False) is not None
     if first.lineno == node.lineno:  # body on the line of the head

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,48 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("other"))
 
 
+CONTENT = "relative_path string, size_bytes long, modified_ms long, content binary"
+
+
+def listed(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
+    """uri, relative path, size and time of every file under a folder, those with hidden names too: metadata only, on the driver."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    out, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        uri = f.getPath()
+        out.append((uri.toString(), uri.toUri().getPath().removeprefix(base), f.getLen(), f.getModificationTime()))
+    return out
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for frame in frames:
+        for uri, rel, size, time in frame[["uri", "relative_path", "size_bytes", "modified_ms"]].itertuples(index=False, name=None):
+            if uri.startswith("file:"):
+                system, path = fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+            else:
+                system, path = fs.FileSystem.from_uri(uri)
+            try:
+                with system.open_input_stream(path) as f:
+                    yield pd.DataFrame([(rel, size, time, f.read())], columns=["relative_path", "size_bytes", "modified_ms", "content"])
+            except OSError:  # a file that went or can't be read is skipped
+                continue
+
+
 def scan(spark: SparkSession, root: str, rules: list[str] = list(DEFAULT_RULES)) -> DataFrame:
-    """relative_path, language, size_bytes, modified, content_hash, content of the files under a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.col("path"), rf"^[a-z]+:/*\Q{base}\E/", "")
-    files = raw.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"), "content")
-    return without_ignored(files, rules).withColumn("language", language_of(F.col("relative_path")))
+    """relative_path, language, size_bytes, modified_ms, content_hash, content of the files under a folder.
+
+    The built-in file readers leave out names that begin with `_` or `.`, such as __init__.py, so the listing is
+    made first and the files that aren't ignored are read by the tasks.
+    """
+    paths = spark.createDataFrame(listed(spark, root), "uri string, relative_path string, size_bytes long, modified_ms long")
+    read = without_ignored(paths, rules).mapInPandas(_read, CONTENT)
+    return read.withColumns({"content_hash": F.sha2("content", 256), "language": language_of(F.col("relative_path"))})
 
 
 def directories(files: DataFrame) -> DataFrame:

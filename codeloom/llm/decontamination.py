@@ -74,7 +74,7 @@ class Tests:
 
 
 def _bounds(tests: Tests, order: np.ndarray, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window, the first and the last but one place in the suffix array whose suffix starts with it."""
+    """Of each window, the first place and the place after the last in the suffix array whose suffix starts with it."""
     found = []
     for upper in (False, True):
         lo, hi = np.zeros(len(tests.size), np.int64), np.full(len(tests.size), len(order), np.int64)
@@ -85,9 +85,12 @@ def _bounds(tests: Tests, order: np.ndarray, tokens: np.ndarray, ends: np.ndarra
             middle = (lo[open_] + hi[open_]) // 2
             at = order[middle]
             less = np.zeros(len(open_), dtype=bool)  # the suffix sorts before the window
+            whole = np.zeros(len(open_), dtype=bool)  # the suffix starts with the window
             equal = np.arange(len(open_))
             for k in range(tests.window):
-                equal = equal[k < tests.size[open_[equal]]]
+                ended = k >= tests.size[open_[equal]]
+                whole[equal[ended]] = True
+                equal = equal[~ended]
                 if not len(equal):
                     break
                 place = at[equal] + k
@@ -96,8 +99,9 @@ def _bounds(tests: Tests, order: np.ndarray, tokens: np.ndarray, ends: np.ndarra
                 theirs = tests.words[open_[equal], k]
                 less[equal] = mine < theirs
                 equal = equal[mine == theirs]
+            whole[equal] = True
             if upper:
-                less[equal] = True
+                less |= whole
             lo[open_[less]] = middle[less] + 1
             hi[open_[~less]] = middle[~less]
         found.append(lo)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows of df from a written table, and its path. The folder is that of spark.checkpoint.dir; a temporary one where that is unset."""
+    """The rows of df from a written table, and its path. The folder is that of spark.checkpoint.dir; where that is unset, in local mode only, a temporary one."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/codeloom-rounds"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"file://{tempfile.gettempdir()}/codeloom-rounds"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -104,3 +104,62 @@ def validate_run(metrics: DataFrame, claimed: DataFrame, strata: tuple[str, ...]
     """Raises unless the claimed summary is what the metrics give."""
     if not same_rows(summary(metrics, strata).select(*claimed.columns), claimed):
         raise ValueError("the summary isn't that of the records")
+
+
+def population(queries: DataFrame, split: str) -> DataFrame:
+    """The queries of a split; raises if there are none."""
+    some = queries.filter(F.col("split") == split)
+    if some.isEmpty():
+        raise ValueError(f"no query in {split}")
+    return some
+
+
+def candidates_for(candidates: DataFrame, project: str, unit: str) -> DataFrame:
+    """The candidates of a project and unit; raises if there are none."""
+    some = candidates.filter((F.col("project_id") == project) & (F.col("unit") == unit))
+    if some.isEmpty():
+        raise ValueError(f"no {unit} in {project}")
+    return some
+
+
+def relevance_map(candidates: DataFrame, graded: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, identity, grade: zeros are left out, as every absent pair has grade 0; raises if a query has nothing above 0 among the candidates."""
+    positive = graded.filter("grade > 0").join(candidates.select("identity"), "identity", "left_semi")
+    assert_empty(queries.select("query_id").join(positive, "query_id", "left_anti"), "nothing relevant")
+    return positive.select("query_id", "identity", "grade")
+
+
+def validate_links(queries: DataFrame, truth: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """Queries with their truth (by ground_truth_id and query_id); raises if one has none, or if a column isn't what the configuration names."""
+    keys = ["ground_truth_id", "query_id"]
+    assert_unique(truth, *keys)
+    assert_empty(queries.select(*keys).join(truth, keys, "left_anti"), "query without truth")
+    for column, value in versions.items():
+        assert_empty(truth.filter(~F.col(column).eqNullSafe(F.lit(value))).select(*keys), column)
+    return queries.join(truth, keys)
+
+
+def validate_registry(files: DataFrame, candidates: DataFrame, manifest: DataFrame) -> None:
+    """Raises unless paths and hashes are those of the manifest (project_id, relative_path, content_hash), each project's candidates are unique, and each lies in a file."""
+    key = ["project_id", "relative_path"]
+    assert_unique(manifest, *key)
+    assert_unique(candidates, "project_id", "identity")
+    both = files.select(*key, "content_hash")
+    if not same_rows(both, manifest.select(*key, "content_hash")):
+        raise ValueError("files aren't those of the manifest")
+    assert_empty(candidates.join(manifest, key, "left_anti"), "candidate outside the files")
+
+
+def validate_retrieved(hits: DataFrame, candidates: DataFrame) -> None:
+    """Raises if a hit isn't a candidate with the same path and span."""
+    keys = ["project_id", "unit", "identity", "relative_path", "start_offset", "end_offset"]
+    on = [hits[k].eqNullSafe(candidates[k]) for k in keys]
+    assert_empty(hits.join(candidates, on, "left_anti"), "hit isn't a candidate")
+
+
+def validate_truth(evidence: DataFrame, files: DataFrame, symbols: DataFrame) -> None:
+    """Raises if evidence names a file or symbol that isn't there, or a span outside its file (files: relative_path, length)."""
+    assert_empty(evidence.join(files, "relative_path", "left_anti"), "no such file")
+    assert_empty(evidence.filter("symbol_id is not null").join(symbols.select("symbol_id"), "symbol_id", "left_anti"), "no such symbol")
+    spans = evidence.filter("start_offset is not null").join(files.select("relative_path", "length"), "relative_path")
+    assert_empty(spans.filter("start_offset < 0 or end_offset <= start_offset or end_offset > length"), "span outside its file")

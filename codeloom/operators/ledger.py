@@ -176,3 +176,47 @@ def admin_operations(operations: DataFrame) -> DataFrame:
 def append_transactions(path: str, rows: DataFrame) -> None:
     """Adds transactions with a new id and the time of writing."""
     rows.withColumns({"transaction_id": F.uuid(), "created_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+class FlatPricing:
+    """A fixed price for each request."""
+
+    def __init__(self, credits: int):
+        if isinstance(credits, bool) or not isinstance(credits, int) or credits < 1:
+            raise ValueError("the price is a whole number above 0")
+        self.credits, self.policy_id = credits, f"flat:v1:{credits}"
+
+    def reserve(self) -> Column:
+        return F.lit(self.credits).cast("long")
+
+    def price(self, tokens_in: Column, tokens_out: Column) -> Column:
+        return F.lit(self.credits).cast("long")
+
+
+class TokenPricing:
+    """Rates per 1000 tokens of a provider's model, up to its limits; the reservation is the price of both limits."""
+
+    def __init__(self, provider: str, model: str, rate_in: str, rate_out: str, max_in: int, max_out: int):
+        self.provider, self.model, self.rate_in, self.rate_out, self.max_in, self.max_out = provider, model, rate_in, rate_out, max_in, max_out
+
+    def _of(self, a: Column, b: Column) -> Column:
+        from codeloom.functions.numeric import token_price
+
+        return token_price(a, b, F.lit(self.rate_in), F.lit(self.rate_out)).cast("long")
+
+    def reserve(self) -> Column:
+        return self._of(F.lit(self.max_in), F.lit(self.max_out))
+
+    def price(self, tokens_in: Column, tokens_out: Column) -> Column:
+        over = (tokens_in > self.max_in) | (tokens_out > self.max_out) | (tokens_in < 0) | (tokens_out < 0)
+        return F.when(over, F.raise_error(F.lit("usage beyond the limits")).cast("long")).otherwise(self._of(tokens_in, tokens_out))
+
+    def price_usage(self, usage: DataFrame) -> DataFrame:
+        """Usage (provider, model, tokens_in, tokens_out) with `credits`; another provider or model raises."""
+        other = (F.col("provider") != self.provider) | (F.col("model") != self.model)
+        return usage.withColumn("credits", F.when(other, F.raise_error(F.lit("another provider or model")).cast("long")).otherwise(self.price(F.col("tokens_in"), F.col("tokens_out"))))
+
+
+def payload_hash(fields: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of the columns as JSON with sorted names, nulls included."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

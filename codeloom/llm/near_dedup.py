@@ -170,9 +170,10 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("node"), "text")
     sketched, sketch_path = written(_buckets(rows).dropDuplicates(["node"]), "sketches")
     cells = sketched.select("node", F.explode("buckets").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    cells, cells_path = written(cells.join(shared, "bucket"), "buckets")
-    nodes = cells.select("node").distinct()
+    # counts are written before they are joined: a join splits hot keys only if both its sides come straight from a shuffle
+    shared, shared_path = written(cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    cells, cells_path = written(cells.join(shared, "bucket", "left_semi"), "buckets")
+    nodes, nodes_path = written(cells.select("node").distinct(), "nodes")
     # the texts of nodes that share a bucket, once each
     texts, texts_path = written(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
@@ -181,12 +182,15 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     while True:
         grouped = cells.withColumn("root", F.col("node")) if roots is None else cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         leader = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("l")
-        mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader).filter("lo <> hi")
+        mixed, mixed_path = written(grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader).filter("lo <> hi").select("bucket", "l.leader", "l.led"), "mixed")
         if through:
             pairs = _rest(grouped.join(mixed.select("bucket"), "bucket", "left_semi"), sketched)
         else:
-            pairs = grouped.join(mixed.select("bucket", "l.leader", "l.led"), "bucket").filter("root <> led").select("leader", "node")
-        found, _ = written(_verified(pairs.distinct(), texts, threshold), "links")
+            pairs = grouped.join(mixed, "bucket").filter("root <> led").select("leader", "node")
+        pairs, pairs_path = written(pairs.distinct(), "pairs")
+        found, _ = written(_verified(pairs, texts, threshold), "links")
+        for path in (pairs_path, mixed_path):
+            drop(spark, path)
         some = not found.isEmpty()
         if some:
             # earlier links are in the roots already
@@ -196,7 +200,7 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
             break
         through = not some or turn > 0
         turn += 1
-    for path in (sketch_path, cells_path, texts_path):
+    for path in (sketch_path, shared_path, cells_path, nodes_path, texts_path):
         drop(spark, path)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 

@@ -157,12 +157,15 @@ def removed_windows(
     spark = docs.sparkSession
     texts = keyed(docs)
     everything, everything_path = written(cut(texts, tokens, length, gram), "stretches")
-    repeated = everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # counts are written before they are joined: a join splits hot keys only if both its sides come straight from a shuffle
+    repeated, repeated_path = written(everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     cells, _ = written(everything.join(repeated, "anchor", "left_semi"), "repeated")
-    drop(spark, everything_path)
+    for path in (everything_path, repeated_path):
+        drop(spark, path)
 
     distinct = cells.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("place").alias("least"))
-    parts = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_STRETCHES).cast("int").alias("parts"))
+    distinct, _ = written(distinct, "sums")
+    parts, _ = written(distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_STRETCHES).cast("int").alias("parts")), "parts")
     distinct = distinct.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts").cast("long")).cast("int"))
     distinct, _ = written(distinct, "distinct")
     reps = cells.join(distinct.select("anchor", "content", F.col("least").alias("place")), ["anchor", "content", "place"], "left_semi")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import written
 from .spans import match_spans
 
 #: Fixed values of the contract: kinds in order, pattern, least length (of group 2 for assign).
@@ -77,6 +78,8 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     # candidates of the documents that have any: few and short
     overlaps = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     found = found.withColumn("spans", F.concat("base", F.filter("tokens", lambda t: ~overlaps(t)))).drop("base", "tokens")
+    # read three times below: written once, without texts, so that the patterns run once
+    found, _ = written(found, "secrets")
     values = found.filter(F.size("spans") > 0).select("doc_id", "text_hash", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     by_owner = values.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     frequency = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_PARTS = 1_000_000
-CACHE_PAIRS = 4_000_000
+CACHE_PARTS = 200_000
+CACHE_PAIRS = 1_000_000
 UNKNOWN = -1
 
 

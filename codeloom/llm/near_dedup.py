@@ -7,8 +7,8 @@ Darts are thrown up to a time at which every coordinate has one nearly surely; t
 
 Coordinates are put into bands; texts with an equal band share a bucket. A bucket isn't expanded into pairs: all its
 members are compared, exactly and by whole texts, with one of them. Where members of a bucket still are in different
-groups, another one leads a second round; last, small buckets that are still mixed are compared through, and large
-ones are first split by every second band that their members share.
+groups, another one leads a second round. Last, the members of a mixed bucket outside its largest group are compared with
+all others of the bucket by their whole sketches, in blocks, and pairs that come near the threshold exactly.
 
 Equal texts are one node from the start. Leaders of large buckets are copied to several tasks, so no task gets more
 than `FOLLOWERS` followers of a leader. Links become groups by alternating stars. Nothing is gathered on the driver.
@@ -36,8 +36,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 7
 SIZE = BANDS * ROWS
 FOLLOWERS = 500
-SMALL_BUCKET = 32
-_DARTS = 1 << 20
+#: Members that are compared with all of their bucket at a time.
+BLOCK = 256
+#: Standard deviations of the estimate below the threshold from which a pair isn't compared exactly.
+SLACK = 2.5
+#: Darts thrown at a time, and bytes of text: what bounds a worker's memory.
+_DARTS = 1 << 18
+_CHUNK = 1 << 20
 
 
 def shingles(chunk: A.Chunk, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +109,11 @@ def sketches(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, size:
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """node, buckets: the band hashes of each different text that has words."""
+    """node, buckets, sketch: the band hashes of each different text that has words, and a byte of each coordinate."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in A.chunks(batch.column("text")):
+            for chunk in A.chunks(batch.column("text"), _CHUNK):
                 node = batch.column("node").to_numpy()[chunk.first : chunk.last]
                 _, first = np.unique(node, return_index=True)
                 n = len(node)
@@ -121,11 +126,12 @@ def _buckets(texts: DataFrame) -> DataFrame:
                 folded += np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32)
                 for k in range(ROWS):
                     folded = A.mix(folded + sketch[:, :, k])
+                bytes_ = (A.mix(sketch.reshape(n, SIZE)) >> np.uint64(56)).astype(np.uint8)
                 some = np.unique(row[own])
                 flat = folded[some].reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(flat))], names=["node", "buckets"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(flat)), pa.array([x.tobytes() for x in bytes_[some]], pa.binary())], names=["node", "buckets", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(rows, "node long, buckets array<long>")
+    return texts.select("node", "text").mapInArrow(rows, "node long, buckets array<long>, sketch binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -147,7 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, group = None, None
         for batch in batches:
-            for chunk in A.chunks(batch.column("text")):
+            for chunk in A.chunks(batch.column("text"), _CHUNK):
                 part = batch.slice(chunk.first, chunk.last - chunk.first)
                 leader, piece, node = part.column("leader").to_pylist(), part.column("part").to_pylist(), part.column("node").to_pylist()
                 row, key, weight = shingles(chunk)
@@ -184,7 +190,7 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         leader = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("l")
         mixed, mixed_path = written(grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader).filter("lo <> hi").select("bucket", "l.leader", "l.led"), "mixed")
         if through:
-            pairs = _rest(grouped.join(mixed.select("bucket"), "bucket", "left_semi"), sketched)
+            pairs = _rest(grouped.join(mixed.select("bucket"), "bucket", "left_semi"), sketched.select("node", "sketch"), threshold)
         else:
             pairs = grouped.join(mixed, "bucket").filter("root <> led").select("leader", "node")
         pairs, pairs_path = written(pairs.distinct(), "pairs")
@@ -205,18 +211,46 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _rest(grouped: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs of different groups within buckets that are still mixed: all of a small bucket; of a large one, those that share a second band."""
-    size = grouped.groupBy("bucket").agg(F.count("*").alias("size"))
-    sized = grouped.select("bucket", "node", "root").join(size, "bucket")
-    small = sized.filter(F.col("size") <= SMALL_BUCKET).select("bucket", F.lit(0).cast("long").alias("second"), "node", "root")
-    large = sized.filter(F.col("size") > SMALL_BUCKET).join(sketched, "node").select("bucket", F.explode("buckets").alias("second"), "node", "root").filter("bucket <> second")
-    cells = small.unionByName(large)
-    some = cells.groupBy("bucket", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "second")
-    cells = cells.join(some, ["bucket", "second"], "left_semi")
-    a, b = cells.alias("a"), cells.alias("b")
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.second") == F.col("b.second")) & (F.col("a.root") < F.col("b.root"))
-    return a.join(b, on).select(F.col("a.node").alias("leader"), F.col("b.node").alias("node"))
+def _rest(grouped: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different groups within buckets whose sketches agree nearly as often as similar texts' do: all members outside a bucket's largest group, in blocks, against all of the bucket. Only these pairs are emitted."""
+    counts = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main, _ = written(counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("blocks")), "mains")
+    rows = grouped.select("bucket", "node", "root").join(main, "bucket").join(sketched, "node")
+    block = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
+    rows = rows.select("bucket", "node", "root", "sketch", "main", "blocks", block.alias("block"))
+    asks = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")) == F.col("block"))
+    dealt = rows.select("bucket", "block", asks.alias("asks"), "node", "root", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("asks"), "node")
+    least = SIZE * threshold - SLACK * np.sqrt(SIZE * threshold * (1 - threshold))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked = None, []  # (node, root, sketch) of those that ask in the current block
+        for batch in batches:
+            found_a, found_b = [], []
+            names = [batch.column(c).to_pylist() for c in ("bucket", "block", "asks", "node", "root", "sketch")]
+            k = 0
+            while k < batch.num_rows:
+                here = (names[0][k], names[1][k])
+                end = k
+                while end < batch.num_rows and (names[0][end], names[1][end]) == here:
+                    end += 1
+                if here != group:
+                    group, asked = here, []
+                part = list(zip(*(x[k:end] for x in names[2:])))
+                asked += [x[1:] for x in part if x[0]]
+                if asked:
+                    mine = np.frombuffer(b"".join(x[2] for x in asked), np.uint8).reshape(-1, SIZE)
+                    roots, nodes = np.array([x[1] for x in asked]), np.array([x[0] for x in asked])
+                    for lo in range(0, len(part), 64):
+                        some = part[lo : lo + 64]
+                        theirs = np.frombuffer(b"".join(x[3] for x in some), np.uint8).reshape(-1, SIZE)
+                        agree = (theirs[:, None, :] == mine[None]).sum(axis=2)
+                        i, j = np.nonzero((agree >= least) & (np.array([x[2] for x in some])[:, None] != roots[None]))
+                        found_a += nodes[j].tolist()
+                        found_b += [some[x][1] for x in i]
+                k = end
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["leader", "node"])
+
+    return dealt.mapInArrow(near, "leader long, node long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

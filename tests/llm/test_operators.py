@@ -130,7 +130,7 @@ def test_sketches_estimate_weighted_similarity():
 
 
 def test_large_buckets_keep_their_links(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
     monkeypatch.setattr(near_dedup, "FOLLOWERS", 2)
     common = " ".join(f"w{i}" for i in range(200))
     rows = [(i, common + f" x{i} y{i} z{i}") for i in range(12)]

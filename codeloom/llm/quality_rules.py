@@ -27,9 +27,10 @@ WINDOW = 3
 
 #: Parameters of the repetition rule: a repeat counts from this many words; a text fails if repeats cover more than this share of it, or if one repeat is longer than this many words and than this share.
 MIN_REPEAT = 10
-MAX_COVERED_PERCENT = 50
+#: The base rule already fails texts half of which is repeated, and two copies cover twice a repeat's share; both limits lie well below that, so each rejects texts of its own.
+MAX_COVERED_PERCENT = 30
 MAX_LONGEST = 200
-MAX_LONGEST_PERCENT = 30
+MAX_LONGEST_PERCENT = 10
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

@@ -74,6 +74,20 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, []).limit(0)).count() == 0
 
 
+def test_quality_limits_reject_on_their_own(spark):
+    fresh = (f"u{i}" for i in range(100_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    short = [take(20) for _ in range(20)]
+    covered = [w for p in short for w in [*p, *take(30), *p, *take(30)]]  # 40 %, in repeats of 20 words
+    once = take(220)
+    longest = [*once, *take(800), *once, *take(760)]  # one repeat of 11 %, 22 % covered
+    little = [*once[:190], *take(800), *once[:190], *take(820)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, [(i, " ".join(w)) for i, w in enumerate((covered, longest, little))])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(got[i].n_covered_words, got[i].longest_repeat) for i in range(3)] == [(800, 20), (440, 220), (380, 190)]
+    assert [got[i].kept for i in range(3)] == [False, False, True]
+
+
 def near_texts():
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))

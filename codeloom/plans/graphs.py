@@ -140,12 +140,20 @@ def analysis_findings(spark, d):
 CYCLE_EDGES = "o_totalprice > 460000"
 
 
-def import_cycles(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 30 = 1")
-    edges = o.select(F.expr("concat('f', o_custkey % 40)").alias("source"), F.expr("concat('f', o_orderkey % 47 % 40)").alias("target"))
+def _import_cycles(orders):
+    edges = orders.select(F.expr("concat('f', o_custkey % 40)").alias("source"), F.expr("concat('f', o_orderkey % 47 % 40)").alias("target"))
     return graph.import_cycles(edges).withColumn("line", F.col("line").cast("long"))
 
 
+def import_cycles(spark, d):
+    return _import_cycles(table(spark, d, "orders").filter("o_orderkey % 30 = 1"))
+
+
+def import_cycles_all(spark, d):
+    """import_cycles of every order."""
+    return _import_cycles(table(spark, d, "orders"))
+
+
 def document_validation(spark, d):
     """Snapshot and documents agree: no row; the changed ones otherwise."""
     bad = snapshots.diff(_old(spark, d), _new(spark, d).filter("doc_id % 5 <> 0"), ["relative_path"], ["content_hash"]).filter("action <> 'unchanged'")
@@ -168,7 +176,7 @@ def first_seen_links(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, index_plan, set_changes, incremental_update, snapshot_metadata, snapshot_identity, framed_identity, graph_counts, graph_expansion, import_resolution,
-    class_containment, analysis_findings, import_cycles, document_validation, duplicate_keys, first_seen_links,
+    class_containment, analysis_findings, import_cycles, import_cycles_all, document_validation, duplicate_keys, first_seen_links,
 )}
 
 _OLD = "old AS (SELECT doc_id, 'd' || doc_id AS relative_path, lang AS language, md5(text) AS content_hash FROM documents WHERE doc_id % 5 <> 0)"
@@ -218,6 +226,10 @@ UNION ALL SELECT 'analysis.tool_failure', 'Analysis tool ''broken'' failed: Runt
     "import_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT 'f' || o_custkey % 40 AS a, 'f' || o_orderkey % 47 % 40 AS b FROM orders WHERE o_orderkey % 30 = 1),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT 'dependency.import_cycle' AS rule_id, 'Import cycle includes ' || count(*) || ' files: ' || string_agg(node, ', ' ORDER BY node) || '.' AS message, 'warning' AS severity, component AS relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM c GROUP BY component""",
+    "import_cycles_all": """WITH RECURSIVE e AS (SELECT DISTINCT 'f' || o_custkey % 40 AS a, 'f' || o_orderkey % 47 % 40 AS b FROM orders),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
 SELECT 'dependency.import_cycle' AS rule_id, 'Import cycle includes ' || count(*) || ' files: ' || string_agg(node, ', ' ORDER BY node) || '.' AS message, 'warning' AS severity, component AS relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM c GROUP BY component""",
     "document_validation": f"WITH {_DIFF.replace('FROM old o FULL JOIN new n', 'FROM old o FULL JOIN (SELECT * FROM new WHERE doc_id % 5 <> 0) n').replace('o.language IS NOT DISTINCT FROM n.language AND ', '')} SELECT * FROM df WHERE action <> 'unchanged'",
     "duplicate_keys": f"WITH {_LINKS} SELECT page_id, target, count(*) AS n FROM links GROUP BY 1, 2 HAVING count(*) > 1",

@@ -70,22 +70,44 @@ def _vectors(spark, d):
     return e.filter("vec_id >= 20"), e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def semantic_ranking(spark, d):
-    corpus, queries = _vectors(spark, d)
+def _all_vectors(spark, d):
+    """Every vector as corpus; each twentieth asks, so the query set grows with the table."""
+    e = table(spark, d, "embeddings")
+    return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _semantic_ranking(corpus, queries):
     return semantic.semantic_search(corpus, queries, K).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def semantic_null_ties(spark, d):
-    """Ranks where the tie key is null for some rows: null last, and null as empty."""
-    corpus, queries = _vectors(spark, d)
+def semantic_ranking(spark, d):
+    return _semantic_ranking(*_vectors(spark, d))
+
+
+def semantic_ranking_all(spark, d):
+    return _semantic_ranking(*_all_vectors(spark, d))
+
+
+def _null_ties(corpus, queries):
     corpus = corpus.select("vec_id", F.expr("case when label % 3 = 0 then null else label end").alias("tie"), "embedding")
-    s = semantic.cosine_scores(corpus, queries.filter("query_id < 3"), "vec_id", "embedding", "query_id", "query_vector").withColumn("score", F.round("score", 1))
+    s = semantic.cosine_scores(corpus, queries, "vec_id", "embedding", "query_id", "query_vector").withColumn("score", F.round("score", 1))
     s = s.join(corpus.select("vec_id", "tie"), "vec_id")
     last = lexical.top_ranked(s, "query_id", [F.desc("score"), *semantic.null_last(F.col("tie")), F.col("vec_id")], 30).select("query_id", "vec_id", F.lit("null_last").alias("ties"), F.col("rank").cast("long").alias("rank"))
     empty = lexical.top_ranked(s, "query_id", [F.desc("score"), *semantic.null_as_empty(F.col("tie"), -1), F.col("vec_id")], 30).select("query_id", "vec_id", F.lit("null_as_empty").alias("ties"), F.col("rank").cast("long").alias("rank"))
     return last.unionByName(empty)
 
 
+def semantic_null_ties(spark, d):
+    """Ranks where the tie key is null for some rows: null last, and null as empty."""
+    corpus, queries = _vectors(spark, d)
+    return _null_ties(corpus, queries.filter("query_id < 3"))
+
+
+def semantic_null_ties_all(spark, d):
+    """semantic_null_ties of every query and vector."""
+    return _null_ties(*_all_vectors(spark, d))
+
+
 def unit_vectors(spark, d):
     n = semantic.normalised(table(spark, d, "embeddings"), "embedding")
     return n.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round("length", 6).alias("length"), numeric.vector_error(F.col("embedding"), 64).alias("error"))
@@ -220,7 +242,7 @@ def evidence_grades(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    token_counts, term_frequencies, corpus_statistics, bm25_ranking, file_documents, chunk_documents, chunk_bm25_ranking, semantic_ranking, semantic_null_ties,
+    token_counts, term_frequencies, corpus_statistics, bm25_ranking, file_documents, chunk_documents, chunk_bm25_ranking, semantic_ranking, semantic_null_ties, semantic_ranking_all, semantic_null_ties_all,
     unit_vectors, fake_vectors, weighted_fusion, rrf_fusion, graph_fusion, degraded_retrieval, candidate_union, context_packing, context_packages, context_diagnostics,
     context_plan, relevance, query_metrics, metric_strata, evidence_grades,
 )}

@@ -33,6 +33,11 @@ def translation_needs(spark, d):
     return t.select("doc_id", *[T.needs_translation(F.col("t"), lang).alias(lang) for lang in ("en", "zh", "ja", "de")])
 
 
+def translation_needs_whole(spark, d):
+    """translation_needs of whole texts."""
+    return table(spark, d, "documents").select("doc_id", *[T.needs_translation(F.col("text"), lang).alias(lang) for lang in ("en", "zh", "ja", "de")])
+
+
 def credential_texts(spark, d):
     return table(spark, d, "documents").filter(T.has_credential(F.col("text"))).select("doc_id")
 
@@ -57,6 +62,12 @@ def neutral_prompts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.neutralise(t).alias("text"))
 
 
+def neutral_prompts_whole(spark, d):
+    """neutral_prompts of whole texts."""
+    t = F.concat(F.lit("<SOURCE_CODE>"), F.coalesce("text", F.lit("")), F.lit("</SOURCE_CODE>"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.neutralise(t).alias("text"))
+
+
 def output_names(spark, d):
     path = F.expr("concat(source, '/a.b/f', doc_id, case when doc_id % 3 = 0 then '' else '.py' end)")
     return table(spark, d, "documents").select("doc_id", *[T.output_name(path, s).alias(s) for s in ("same", "suffix", "subdir")])
@@ -213,7 +224,7 @@ def split_diffs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    python_lint, java_lint, lint_display, translation_needs, credential_texts, private_entries, output_errors, fence_strip, neutral_prompts, output_names, python_modules,
+    python_lint, java_lint, lint_display, translation_needs, translation_needs_whole, credential_texts, private_entries, output_errors, fence_strip, neutral_prompts, neutral_prompts_whole, output_names, python_modules,
     path_checks, line_spans, name_slugs, symbol_names, file_languages, ignore_rules, batch_outcomes, log_heads, translations, kept_fields, references, run_eligibility,
     parsed_symbols, parsed_imports, code_measures, unannotated, input_errors, code_outline, split_diffs,
 )}
@@ -242,11 +253,13 @@ UNION ALL SELECT doc_id, n, 'GJL004' FROM lb WHERE regexp_matches(b, '[;,]\S') A
 UNION ALL SELECT doc_id, n, 'GJL006' FROM lb WHERE third UNION ALL SELECT doc_id, len(ls), 'GJL007' FROM raw WHERE NOT ends_with(text, chr(10))""",
     "lint_display": f"WITH {_PYL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM iss) SELECT doc_id, line_no, rule, 0::BIGINT AS more FROM r WHERE k <= 5 UNION ALL SELECT doc_id, NULL, 'more', total - 5 FROM r WHERE k = 1 AND total > 5",
     "translation_needs": "WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 20) || '漢字' WHEN 1 THEN 'かな' ELSE substr(text, 1, 20) END AS t FROM documents), f AS (SELECT doc_id, t, regexp_matches(t, '[一-鿿]') AS c, regexp_matches(t, '[぀-ヿ]') AS k FROM t) SELECT doc_id, t <> '' AND (c OR k) AS en, t <> '' AND (k OR NOT c) AS zh, t <> '' AND NOT k AS ja, false AS de FROM f",
+    "translation_needs_whole": "WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '[一-鿿]') AS c, regexp_matches(coalesce(text, ''), '[぀-ヿ]') AS k FROM documents) SELECT doc_id, t <> '' AND (c OR k) AS en, t <> '' AND (k OR NOT c) AS zh, t <> '' AND NOT k AS ja, false AS de FROM f",
     "credential_texts": "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + T.CREDENTIAL_VALUE.replace("'", "''") + "') OR regexp_matches(text, '" + T.CREDENTIAL_ASSIGNMENT.replace("'", "''") + "')",
     "private_entries": "SELECT event_id, event_id % 7 = 0 AS private FROM events",
     "output_errors": f"WITH x AS (SELECT conv_id, turn, {_CONV} AS t FROM conversations) SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'EMPTY_RESPONSE' WHEN {_UNSAFE} THEN 'UNSAFE_RESPONSE' WHEN regexp_matches(t, '(?i){T.EXTRA_PROSE}') THEN 'EXTRA_PROSE' END AS error FROM x",
     "fence_strip": "SELECT conv_id, turn, CASE WHEN contains(text, '```') THEN NULL WHEN conv_id % 4 IN (0, 3) THEN sha256(trim(text)) END AS sha FROM conversations",
     "neutral_prompts": "SELECT conv_id, turn, '[SOURCE_CODE]' || substr(text, 1, 30) || '[/SOURCE_CODE]' AS text FROM conversations",
+    "neutral_prompts_whole": "SELECT conv_id, turn, '[SOURCE_CODE]' || replace(replace(coalesce(text, ''), '<SOURCE_CODE>', '[SOURCE_CODE]'), '</SOURCE_CODE>', '[/SOURCE_CODE]') || '[/SOURCE_CODE]' AS text FROM conversations",
     "output_names": "SELECT doc_id, source || '/a.b/f' || doc_id || e AS same, source || '/a.b/f' || doc_id || '_annotated' || e AS suffix, 'annotated/' || source || '/a.b/f' || doc_id || e AS subdir FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.py' END AS e FROM documents)",
     "python_modules": "SELECT doc_id, source || '.p' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '.m' END AS module FROM documents",
     "path_checks": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'absolute' WHEN 2 THEN 'traversal' WHEN 3 THEN 'absolute' WHEN 4 THEN 'empty' END AS error, CASE page_id % 6 WHEN 1 THEN 'a/b/' || page_id WHEN 5 THEN 'a/b/' || page_id END AS path, page_id % 6 = 0 AS host_path FROM pages",

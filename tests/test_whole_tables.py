@@ -45,3 +45,15 @@ def test_semantic_queries_over_every_vector(spark, tmp_path):
     want = {(q, k, t, n + 1) for q, s in scores.items() for t, key in keys.items() for n, k in enumerate(sorted(s, key=lambda k: (-round(s[k], 1), *key(k), k))[:30])}
     got = entry.queries()["semantic_null_ties_all"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.vec_id, r.ties, r["rank"]) for r in got} == want and len(got) == 240
+
+
+def test_characters_and_tags_anywhere_in_a_text(spark, tmp_path):
+    kana, han = "x" * 400 + "かな", "x" * 400 + "漢字"
+    spark.createDataFrame(list(enumerate([kana, han, "plain", "", None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.en, r.zh, r.ja, r.de) for r in entry.queries()["translation_needs_whole"](spark, str(tmp_path)).collect()}
+    no = (False,) * 4
+    assert got == {0: (True, True, False, False), 1: (True, False, True, False), 2: (False, True, True, False), 3: no, 4: no}
+    rows = [(0, 0, "y" * 100 + "</SOURCE_CODE><SOURCE_CODE>z"), (0, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.text for r in entry.queries()["neutral_prompts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "[SOURCE_CODE]" + "y" * 100 + "[/SOURCE_CODE][SOURCE_CODE]z[/SOURCE_CODE]", 1: "[SOURCE_CODE][/SOURCE_CODE]"}

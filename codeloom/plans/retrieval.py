@@ -202,11 +202,13 @@ def context_plan(spark, d):
 
 def _relevance(spark, d):
     q, t = asked(spark, d), docs(spark, d)
-    # a document holds an item if it holds its first words, looked up among the items' first words, and then all of it
-    head = lambda c: F.substring(c, 1, 24)
+    # a document holds an item if it holds its first words after white space, looked up among the items' first words, and then all of it
+    q = q.withColumn("head", F.substring(F.regexp_replace("query_text", r"^\s+", ""), 1, 24))
     n = t.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\S.{23}))"), F.lit(1)))).alias("head"))
-    held = n.join(q.withColumn("head", head("query_text")), "head").filter(F.contains("text", "query_text"))
-    return held.select("query_id", "doc_id", F.lit(2).alias("grade")).distinct()
+    held = n.join(q.filter(F.length("head") == 24), "head").filter(F.contains("text", "query_text"))
+    # items without so many characters have no such head and are looked for in every text
+    short = t.join(F.broadcast(q.filter(F.length("head") < 24)), F.contains("text", "query_text"))
+    return held.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct().withColumn("grade", F.lit(2))
 
 
 def relevance(spark, d):

@@ -47,6 +47,16 @@ def test_semantic_queries_over_every_vector(spark, tmp_path):
     assert {(r.query_id, r.vec_id, r.ties, r["rank"]) for r in got} == want and len(got) == 240
 
 
+def test_short_and_indented_items_are_relevant(spark, tmp_path):
+    long = "a benchmark item of many characters"
+    texts = [f"x {long} y", f"x\n\t  {long}", "so short it is", "", None, "tab\tonly", f"😀{long}"]
+    items = [long, f"\n\t  {long}", "short", "tab\t", "no such", "a benchmark item of mano", f"  {long}", " \t ", "😀a benchmark item of man", long[:24], long[:23], None]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = entry.queries()["relevance"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d, 2) for q, b in enumerate(items) for d, t in enumerate(texts) if b is not None and t is not None and b in t)
+
+
 def test_characters_and_tags_anywhere_in_a_text(spark, tmp_path):
     kana, han = "x" * 400 + "かな", "x" * 400 + "漢字"
     spark.createDataFrame(list(enumerate([kana, han, "plain", "", None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -6,8 +6,8 @@ network, a permutation of the values of each format. So a value has one pseudony
 values stay different, and the signs between the digits stay where they are.
 
 * card (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the new check digit.
-* ip: the 32 bits are permuted. * ssn: all 9 digits. * iban (mod 97 = 1): the last 10 digits are permuted and the
-  two check digits anew. * phone: the last 9 digits.
+* ip: the 32 bits are permuted. * ssn: all 9 digits. * iban (mod 97 = 1): the last 10 characters are permuted, digits among
+  digits and letters among letters, and the two check digits anew. * phone: the last 9 digits.
 * date (1900 to 2099, ISO, day.month.year or month/day/year): year and day of the year are permuted; the last
   day of a leap year moves among leap years.
 * email: the local part becomes as many letters and digits as a keyed hash gives (at most 16), the domain stays.
@@ -78,13 +78,13 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, b: a + b)
 
 
-def refill(value: Column, digits: Column) -> Column:
-    """value with its digits replaced, in order, by other digits."""
+def refill(value: Column, digits: Column, sign: str = "^[0-9]$") -> Column:
+    """value with its digits (or other signs) replaced, in order, by other ones."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, c: Column) -> Column:
-        digit = F.rlike(c, F.lit("^[0-9]$"))
+        digit = F.rlike(c, F.lit(sign))
         return F.struct(
             (state["at"] + F.when(digit, 1).otherwise(0)).alias("at"),
             F.concat(state["out"], F.when(digit, digits.substr(state["at"], F.lit(1))).otherwise(c)).alias("out"),
@@ -128,15 +128,49 @@ def _iban_rest(value: Column) -> Column:
 
 def _iban_valid(value: Column) -> Column:
     plain = _iban_rest(value)
-    return F.length(plain).between(15, 34) & F.rlike(plain, F.lit("[0-9]{10}$")) & (_mod97(_letters_as_numbers(F.concat(plain.substr(F.lit(5), F.length(plain)), plain.substr(1, 4)))) == 1)
+    return F.length(plain).between(15, 34) & (_mod97(_letters_as_numbers(F.concat(plain.substr(F.lit(5), F.length(plain)), plain.substr(1, 4)))) == 1)
+
+
+def _signs(value: Column) -> Column:
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
+def _radix(c: Column) -> Column:
+    return F.when(F.rlike(c, F.lit("[0-9]")), 10).otherwise(26).cast("long")
+
+
+def _as_number(value: Column) -> Column:
+    """Digits and capitals as a number, each place over its own alphabet."""
+    place = lambda c: F.ascii(c) - F.when(F.rlike(c, F.lit("[0-9]")), 48).otherwise(65)
+    return F.aggregate(_signs(value), F.lit(0).cast("long"), lambda a, c: a * _radix(c) + place(c))
+
+
+def _as_signs(number: Column, like: Column) -> Column:
+    """_as_number backwards; like: a text with the same alphabets."""
+    start = F.struct(number.alias("left"), F.lit("").alias("out"))
+
+    def step(state: Column, c: Column) -> Column:
+        at = F.pmod(state["left"], _radix(c))
+        sign = F.char(at + F.when(F.rlike(c, F.lit("[0-9]")), 48).otherwise(65))
+        return F.struct(F.floor((state["left"] - at) / _radix(c)).cast("long").alias("left"), F.concat(sign, state["out"]).alias("out"))
+
+    return F.aggregate(F.reverse(_signs(like)), start, step, lambda s: s["out"])
+
+
+def permute_signs(key: str, signs: Column, tweak: str) -> Column:
+    """A permutation of the texts of 10 digits and capitals that have them at the same places; of digits, that of permute_digits."""
+    a, b = signs.substr(1, 5), signs.substr(6, 5)
+    size = lambda v: F.aggregate(_signs(v), F.lit(1).cast("long"), lambda n, c: n * _radix(c))
+    state = feistel(key, _as_number(a), _as_number(b), size(a), size(b), tweak)
+    return F.concat(_as_signs(state["a"], a), _as_signs(state["b"], b))
 
 
 def _iban(key: str, value: Column) -> Column:
     plain = _iban_rest(value)
     n = F.length(plain)
-    country, body = plain.substr(1, 2), F.concat(plain.substr(F.lit(5), n - 14), permute_digits(key, plain.substr(n - 9, F.lit(10)), "iban"))
+    country, body = plain.substr(1, 2), F.concat(plain.substr(F.lit(5), n - 14), permute_signs(key, plain.substr(n - 9, F.lit(10)), "iban"))
     check = F.lpad((98 - _mod97(_letters_as_numbers(F.concat(body, country, F.lit("00"))))).cast("string"), 2, "0")
-    return refill(value, _digits(F.concat(country, check, body)))
+    return refill(value, F.concat(country, check, body), "^[A-Z0-9]$")
 
 
 def _date_of(value: Column) -> Column:

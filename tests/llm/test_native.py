@@ -134,6 +134,28 @@ def test_pseudonyms(spark):
     assert got[12].text.endswith(got[1].text) and len(got) == len(rows)
 
 
+def test_ibans_with_letters(spark):
+    from pyspark.sql import functions as F
+
+    ibans = ["FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB82 WEST 1234 5698 7654 32"]
+    wrong = "FR15 2004 1010 0505 0001 3M02 606"
+    rows = [(i, f"iban {x} of it") for i, x in enumerate([*ibans, wrong])]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_numbers for i in range(4)] == [1, 1, 1, 0] and got[3].text == rows[3][1]
+    shape = lambda x: re.sub("[A-Z]", "A", re.sub(r"\d", "0", x))
+    for i, old in enumerate(ibans):
+        new = got[i].text[5:-6]
+        plain, was = new.replace(" ", ""), old.replace(" ", "")
+        assert shape(new) == shape(old) and plain[4:-10] == was[4:-10] and plain[-10:] != was[-10:]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    # a permutation: all texts of one shape give different ones of that shape, and digits those of permute_digits
+    ends = spark.range(2600).select(F.concat(F.lit("00000A"), F.lpad((F.col("id") / 26).cast("int").cast("string"), 2, "0"), F.char(F.col("id") % 26 + 65), F.lit("0")).alias("s"))
+    out = [r.p for r in ends.select(pseudonyms.permute_signs("k", F.col("s"), "iban").alias("p")).collect()]
+    assert len(set(out)) == 2600 and {shape(p) for p in out} == {"00000A00A0"}
+    digits = spark.range(50).select(F.lpad((F.col("id") * 98765431).cast("string"), 10, "0").alias("s"))
+    assert digits.filter(pseudonyms.permute_signs("k", F.col("s"), "iban") != pseudonyms.permute_digits("k", F.col("s"), "iban")).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 

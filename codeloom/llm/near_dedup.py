@@ -5,13 +5,16 @@ that depend on its hash alone (a Poisson process); each dart falls on one of `SI
 the earliest dart of each. Two texts agree on a coordinate with a chance equal to their weighted Jaccard similarity.
 Darts are thrown up to a time at which every coordinate has one nearly surely; texts that still lack some throw on.
 
-Coordinates are put into bands; texts with an equal band share a bucket. A bucket isn't expanded into pairs: all its
-members are compared, exactly and by whole texts, with one of them. Where members of a bucket still are in different
-groups, another one leads a second round. Last, the members of a mixed bucket outside its largest group are compared with
-all others of the bucket by their whole sketches, in blocks, and pairs that come near the threshold exactly.
+Coordinates are put into bands; texts with an equal band share a bucket. A bucket isn't expanded into pairs: in rounds,
+all its members are compared, exactly and by whole texts, with one of them, its leader; links join groups, and a later
+round picks another leader where members of a bucket still are in different groups. Rounds go on while at least one
+comparison in twenty finds a link. What is still mixed then is settled in blocks: up to `BLOCK` members outside the
+bucket's largest group meet all of the bucket inside one task, and pairs of different groups whose whole sketches come
+near the threshold are compared exactly there. A task gives only the links that join two groups it hadn't joined yet,
+so rows out grow with the members and not with their pairs. A pair is tried in the first bucket it shares alone.
 
 Equal texts are one node from the start. Leaders of large buckets are copied to several tasks, so no task gets more
-than `FOLLOWERS` followers of a leader. Links become groups by alternating stars. Nothing is gathered on the driver.
+than `FOLLOWERS` followers of a leader. Links become groups by alternating stars.
 
 Nodes are 64-bit text hashes. Texts of fewer than five words, but not none, are one run; texts without words are
 alike only if equal; null texts are like no other. The group of a document is its least id (nulls last; null for a
@@ -36,10 +39,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 7
 SIZE = BANDS * ROWS
 FOLLOWERS = 500
-#: Members that are compared with all of their bucket at a time.
+#: Members that are compared with all of their bucket at a time, and the bytes of their texts.
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 #: Standard deviations of the estimate below the threshold from which a pair isn't compared exactly.
-SLACK = 2.5
+SLACK = 4.0
+#: Rounds of leaders go on while at least one comparison in so many finds a link.
+WORTH = 20
 #: Darts thrown at a time, and bytes of text: what bounds a worker's memory.
 _DARTS = 1 << 18
 _CHUNK = 1 << 20
@@ -143,8 +149,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (leader, node) whose texts are similar enough."""
-    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts"))
+    """The pairs (leader, node) whose texts are similar enough. pairs: a written table."""
+    # written first: a join splits hot leaders only if both its sides come straight from a shuffle
+    parts, _ = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")), "parts")
     leaders = parts.select(F.col("leader").alias("node"), "parts").join(texts, "node")
     leaders = leaders.select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "text")
     followers = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("part"), "node").join(texts, "node")
@@ -175,82 +182,115 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("node"), "text")
     sketched, sketch_path = written(_buckets(rows).dropDuplicates(["node"]), "sketches")
-    cells = sketched.select("node", F.explode("buckets").alias("bucket"))
+    cells = sketched.select("node", F.posexplode("buckets").alias("band", "bucket"))
     # counts are written before they are joined: a join splits hot keys only if both its sides come straight from a shuffle
     shared, shared_path = written(cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
     cells, cells_path = written(cells.join(shared, "bucket", "left_semi"), "buckets")
     nodes, nodes_path = written(cells.select("node").distinct(), "nodes")
     # the texts of nodes that share a bucket, once each
     texts, texts_path = written(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    for path in (shared_path, nodes_path):
+        drop(spark, path)
 
-    roots = None
+    roots, roots_path = None, None
     turn, through = 0, False
     while True:
-        grouped = cells.withColumn("root", F.col("node")) if roots is None else cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = cells.withColumn("root", F.col("node")) if roots is None else cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        grouped, grouped_path = written(rooted, "grouped")
         leader = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("l")
         mixed, mixed_path = written(grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader).filter("lo <> hi").select("bucket", "l.leader", "l.led"), "mixed")
-        if through:
-            pairs = _rest(grouped.join(mixed.select("bucket"), "bucket", "left_semi"), sketched.select("node", "sketch"), threshold)
+        old, last = [grouped_path, mixed_path], through
+        if last:
+            found, links_path = written(_rest(grouped.join(mixed.select("bucket"), "bucket", "left_semi"), sketched.select("node", "sketch"), texts, threshold), "links")
         else:
-            pairs = grouped.join(mixed, "bucket").filter("root <> led").select("leader", "node")
-        pairs, pairs_path = written(pairs.distinct(), "pairs")
-        found, _ = written(_verified(pairs, texts, threshold), "links")
-        for path in (pairs_path, mixed_path):
-            drop(spark, path)
+            # one comparison of a member with the same leader, however many buckets they share
+            pairs, pairs_path = written(grouped.join(mixed, "bucket").filter("root <> led").select("leader", "node").distinct(), "pairs")
+            found, links_path = written(_verified(pairs, texts, threshold), "links")
+            old.append(pairs_path)
+            through = found.count() * WORTH <= pairs.count()
         some = not found.isEmpty()
         if some:
             # earlier links are in the roots already
             edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots, _ = written(components(edges), "roots")
-        if through:
+            before, (roots, roots_path) = roots_path, written(components(edges), "roots")
+            old += [before] if before else []
+        for path in [*old, links_path]:
+            drop(spark, path)
+        if last:
             break
-        through = not some or turn > 0
         turn += 1
-    for path in (sketch_path, shared_path, cells_path, nodes_path, texts_path):
+    for path in (sketch_path, cells_path, texts_path):
         drop(spark, path)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def _rest(grouped: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different groups within buckets whose sketches agree nearly as often as similar texts' do: all members outside a bucket's largest group, in blocks, against all of the bucket. Only these pairs are emitted."""
-    counts = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main, _ = written(counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("blocks")), "mains")
-    rows = grouped.select("bucket", "node", "root").join(main, "bucket").join(sketched, "node")
-    block = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
-    rows = rows.select("bucket", "node", "root", "sketch", "main", "blocks", block.alias("block"))
-    asks = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")) == F.col("block"))
-    dealt = rows.select("bucket", "block", asks.alias("asks"), "node", "root", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("asks"), "node")
+def _rest(grouped: DataFrame, sketched: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that join the groups left in mixed buckets, found by comparing every pair of members of different groups.
+
+    A block holds members outside the bucket's largest group and meets all of the bucket, which streams by. Pairs
+    whose sketches agree nearly as often as similar texts' do are compared exactly, unless links of this task
+    have joined their groups already or an earlier band holds the pair as well.
+    """
+    sized = grouped.join(sketched, "node").join(texts, "node")
+    sized, _ = written(sized.select("bucket", "band", "node", "root", "sketch", "text"), "sized")
+    counts = sized.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / BLOCK), F.ceil((F.sum("bytes") - F.max_by("bytes", F.struct("n", "root"))) / BLOCK_BYTES)).cast("int")
+    main, _ = written(counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), blocks.alias("blocks")), "mains")
+    rows = sized.join(main, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = F.col("root") != F.col("main")
+    own = asks & (F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")) == F.col("block"))
+    dealt = rows.select("bucket", "block", "band", own.alias("own"), asks.alias("asks"), "node", "root", "sketch", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("own"), "node")
     least = SIZE * threshold - SLACK * np.sqrt(SIZE * threshold * (1 - threshold))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, asked = None, []  # (node, root, sketch) of those that ask in the current block
+    def elements(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        _, key, weight = shingles(next(A.chunks(pa.array([text], pa.binary()))))
+        return key, weight
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        joined: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in joined:
+                root = joined[root]
+            return root
+
         for batch in batches:
-            found_a, found_b = [], []
-            names = [batch.column(c).to_pylist() for c in ("bucket", "block", "asks", "node", "root", "sketch")]
-            k = 0
-            while k < batch.num_rows:
-                here = (names[0][k], names[1][k])
-                end = k
-                while end < batch.num_rows and (names[0][end], names[1][end]) == here:
-                    end += 1
-                if here != group:
-                    group, asked = here, []
-                part = list(zip(*(x[k:end] for x in names[2:])))
-                asked += [x[1:] for x in part if x[0]]
-                if asked:
-                    mine = np.frombuffer(b"".join(x[2] for x in asked), np.uint8).reshape(-1, SIZE)
-                    roots, nodes = np.array([x[1] for x in asked]), np.array([x[0] for x in asked])
-                    for lo in range(0, len(part), 64):
-                        some = part[lo : lo + 64]
-                        theirs = np.frombuffer(b"".join(x[3] for x in some), np.uint8).reshape(-1, SIZE)
-                        agree = (theirs[:, None, :] == mine[None]).sum(axis=2)
-                        i, j = np.nonzero((agree >= least) & (np.array([x[2] for x in some])[:, None] != roots[None]))
-                        found_a += nodes[j].tolist()
-                        found_b += [some[x][1] for x in i]
-                k = end
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["leader", "node"])
-
-    return dealt.mapInArrow(near, "leader long, node long")
+            out = []
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64).to_pylist()
+                for here in dict.fromkeys((r["bucket"], r["block"]) for r in part):
+                    some = [r for r in part if (r["bucket"], r["block"]) == here]
+                    if here != group:
+                        # groups that this task has joined stay joined: their link has been given
+                        group, held = here, []
+                    for r in some:
+                        r["matrix"] = np.frombuffer(r["sketch"], np.uint8)
+                    held += [r for r in some if r["own"]]
+                    if not held:
+                        continue
+                    mine, theirs = (np.stack([r["matrix"] for r in x]) for x in (held, some))
+                    tops = (np.array([top(r["root"]) for r in x]) for x in (held, some))
+                    mine_top, their_top = tops
+                    agree = np.empty((len(some), len(held)), dtype=np.int64)
+                    for k in range(len(some)):
+                        agree[k] = (mine == theirs[k]).sum(axis=1)
+                    for i, j in zip(*np.nonzero((agree >= least) & (their_top[:, None] != mine_top[None]))):
+                        a, b = held[j], some[i]
+                        x, y = top(a["root"]), top(b["root"])
+                        if x == y or (b["asks"] and a["node"] > b["node"]):
+                            continue  # two members that both ask meet once
+                        if (a["matrix"] == b["matrix"]).reshape(BANDS, ROWS).all(axis=1).argmax() < a["band"]:
+                            continue
+                        for r in (a, b):
+                            if "elements" not in r:
+                                r["elements"] = elements(r["text"])
+                        if weighted_jaccard(a["elements"], b["elements"]) >= threshold:
+                            joined[max(x, y)] = min(x, y)
+                            out.append((a["node"], b["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(settled, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -258,7 +298,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     roots = near_groups(docs, threshold)
     member = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.col("text").isNull().alias("alone"))
     rooted = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.filter("not alone").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written first, so that the join can split a large group
+    sizes, _ = written(rooted.filter("not alone").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     return rooted.join(sizes, "root", "left").select(
         "doc_id",
         F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -272,7 +313,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("place"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.col("text").isNull().alias("alone"))
     rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("place").isNull(), "place", "node")
-    best = rooted.filter("not alone").groupBy("root").agg(F.min(order).alias("best"))
+    best, _ = written(rooted.filter("not alone").groupBy("root").agg(F.min(order).alias("best")), "best")
     # of rows with the same id and text one is as good as another
     kept = rooted.filter("not alone").join(best, "root").filter(order == F.col("best")).dropDuplicates(["root"])
     return kept.select("row.*").unionByName(rooted.filter("alone").select("row.*"))

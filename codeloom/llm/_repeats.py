@@ -6,9 +6,11 @@
    anchor with more than `SHARD_STRETCHES` different ones is split over several. Shards are sorted, so a task
    holds a few megabytes at a time, whatever the size of its partition.
 4. The operator's own shard function, given the different stretches of a shard, finds which of their windows are
-   equal. For anchors in one shard that settles it. For split anchors each shard hands on one row for each
-   different window; these are merged by window over all shards, and the totals go back to the shards' windows.
-5. Verdicts are joined to all stretches, gathered by document, and applied to the whole text.
+   equal: runs of repeated windows, each with the least document it starts in. For anchors in one shard that settles
+   it. For split anchors each shard hands on one row for each different window; these are merged by window over all
+   shards, and the totals go back first to the shards, then to their windows.
+5. The runs are joined to all stretches: whether a document loses a window is decided by the least document of that
+   window's class. They are gathered by document, once for each different stretch, and applied to the whole text.
 
 The text is shuffled once: both joins with it need the same partitioning. Documents are known by id and text
 hash, so repeated rows share one verdict and give one row each; a null id sorts after every other id.
@@ -35,13 +37,14 @@ NO_ID = (1 << 63) - 1
 
 @dataclass
 class Shard:
-    """Different stretches with their bytes; group: number of the (anchor, part); times and least: occurrences and least document."""
+    """Different stretches with their bytes; group: number of the (anchor, part); times, least and most: occurrences, least and greatest document."""
 
     chunk: A.Chunk
     group: np.ndarray
     windows: np.ndarray
     times: np.ndarray
     least: np.ndarray
+    most: np.ndarray
 
 
 #: Of the windows of a shard (stretches one after the other): the class of each, equal for equal windows of a group; and a 128-bit hash of each class as two numbers.
@@ -84,7 +87,17 @@ def _fetch(reps: DataFrame, texts: DataFrame, span: Callable[[A.Chunk], tuple[np
     wanted = reps.groupBy("place", "text_hash").agg(*[F.collect_list(c).alias(c) for c in ("first", "count", "anchor", "content")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
+            # repeated rows stand next to each other after the join: their stretches are fetched once
+            place, text_hash = (batch.column(c).to_numpy() for c in ("place", "text_hash"))
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (text_hash[1:] != text_hash[:-1])
+            if not batch.num_rows:
+                continue
+            new[0] = (place[0], text_hash[0]) != before
+            before = place[-1], text_hash[-1]
+            batch = batch.filter(pa.array(new))
             for chunk in A.chunks(batch.column("text")):
                 part = batch.slice(chunk.first, chunk.last - chunk.first)
                 start, end, bounds = span(chunk)
@@ -99,7 +112,7 @@ def _fetch(reps: DataFrame, texts: DataFrame, span: Callable[[A.Chunk], tuple[np
                     names=["anchor", "content", "count", "bytes"],
                 )
 
-    joined = texts.join(wanted, ["place", "text_hash"]).select("text", "first", "count", "anchor", "content")
+    joined = texts.join(wanted, ["place", "text_hash"]).select("place", "text_hash", "text", "first", "count", "anchor", "content")
     return joined.mapInArrow(rows, "anchor long, content long, count int, bytes binary")
 
 
@@ -115,7 +128,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Shard
         anchor, part = table["anchor"].to_numpy(), table["part"].to_numpy()
         new = np.append(0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))
         chunk = next(A.chunks(table["bytes"].combine_chunks(), limit=1 << 62))
-        return table, Shard(chunk, np.cumsum(new), table["count"].to_numpy().astype(np.int64), table["times"].to_numpy(), table["least"].to_numpy())
+        return table, Shard(chunk, np.cumsum(new), table["count"].to_numpy().astype(np.int64), table["times"].to_numpy(), table["least"].to_numpy(), table["most"].to_numpy())
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -145,14 +158,14 @@ def removed_windows(
     length: int,
     gram: int,
     by_document: bool,
-    apply: Callable[[A.Chunk, list[np.ndarray], list[np.ndarray]], dict[str, pa.Array]],
+    apply: Callable[[A.Chunk, list[np.ndarray], list[np.ndarray], list[np.ndarray]], dict[str, pa.Array]],
     schema: str,
-    merge: Callable[[DataFrame], DataFrame] | None = None,
+    merge: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """One row per document, as `apply` makes it of the whole text and the spans of windows to remove.
+    """One row per document, as `apply` makes it of the whole text, the spans of windows to remove, and which of them start in a lesser document too.
 
     by_document: a window goes if an equal one starts in a lesser document; otherwise if one starts anywhere else.
-    merge: totals (times, least) of the windows of split anchors, from one row for each shard and window.
+    merge: totals (times, least, most) of the windows of split anchors, from one row for each shard and window.
     """
     spark = docs.sparkSession
     texts = keyed(docs)
@@ -160,14 +173,12 @@ def removed_windows(
     # counts are written before they are joined: a join splits hot keys only if both its sides come straight from a shuffle
     repeated, repeated_path = written(everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     cells, _ = written(everything.join(repeated, "anchor", "left_semi"), "repeated")
-    for path in (everything_path, repeated_path):
-        drop(spark, path)
-
-    distinct = cells.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("place").alias("least"))
-    distinct, _ = written(distinct, "sums")
-    parts, _ = written(distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_STRETCHES).cast("int").alias("parts")), "parts")
-    distinct = distinct.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts").cast("long")).cast("int"))
-    distinct, _ = written(distinct, "distinct")
+    drop(spark, everything_path, repeated_path)
+
+    sums, sums_path = written(cells.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("place").alias("least"), F.max("place").alias("most")), "sums")
+    parts, parts_path = written(sums.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_STRETCHES).cast("int").alias("parts")), "parts")
+    distinct, distinct_path = written(sums.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts").cast("long")).cast("int")), "distinct")
+    drop(spark, sums_path, parts_path)
     reps = cells.join(distinct.select("anchor", "content", F.col("least").alias("place")), ["anchor", "content", "place"], "left_semi")
     # any one occurrence in the least document will do
     reps = reps.groupBy("anchor", "content").agg(F.min("place").alias("place"), F.min(F.struct("text_hash", "first")).alias("at"), F.min("count").alias("count"))
@@ -180,68 +191,65 @@ def removed_windows(
             n_cls = len(high)
             owner = np.repeat(np.arange(len(shard.windows)), shard.windows)
             times = np.bincount(cls, weights=shard.times[owner], minlength=n_cls).astype(np.int64)
-            least = np.full(n_cls, NO_ID, dtype=np.int64)
+            least, most = np.full(n_cls, NO_ID, dtype=np.int64), np.full(n_cls, -NO_ID, dtype=np.int64)
             np.minimum.at(least, cls, shard.least[owner])
+            np.maximum.at(most, cls, shard.most[owner])
             split = table["parts"].to_numpy() > 1
             base = np.cumsum(shard.windows) - shard.windows
-            # settled: runs of windows to remove, of anchors in one shard; open: every window with its class's hash
-            goes = (least[cls] < shard.least[owner]) if by_document else (times[cls] > 1)
-            runs_lo, runs_hi = _runs(goes & ~split[owner], shard.windows)
+            # settled: runs of repeated windows with the same least document, of anchors in one shard; open: every window with its class's hash
+            goes = (least < most)[cls] if by_document else (times > 1)[cls]
+            lo, hi = _runs(goes & ~split[owner], shard.windows, least[cls])
             none = np.zeros(0, np.int64)
             pick = [np.arange(base[k], base[k] + shard.windows[k]) if split[k] else none for k in range(len(base))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    table["anchor"].combine_chunks(), table["content"].combine_chunks(), _lists(runs_lo, pa.int32()), _lists(runs_hi, pa.int32()),
-                    _lists([high[cls[p]] for p in pick], pa.int64()), _lists([low[cls[p]] for p in pick], pa.int64()),
-                    _lists([times[cls[p]] if len(p) else none for p in pick], pa.int64()), _lists([least[cls[p]] for p in pick], pa.int64()),
-                    pa.array(np.where(split, shard.least, NO_ID)), table["part"].combine_chunks(),
-                ],
-                names=["anchor", "content", "lo", "hi", "high", "low", "times", "least", "own", "part"],
-            )
-
-    verdicts = shards.mapInArrow(judged, "anchor long, content long, lo array<int>, hi array<int>, high array<long>, low array<long>, times array<long>, least array<long>, own long, part int")
-    verdicts, _ = written(verdicts, "verdicts")
+            open_ = {name: _lists([of[cls[p]] if len(p) else none for p in pick], pa.int64()) for name, of in (("high", high), ("low", low), ("times", times), ("smallest", least), ("greatest", most))}
+            settled = {"lo": _lists(lo, pa.int32()), "hi": _lists(hi, pa.int32()), "least": _lists([least[cls[base[k] + x]] for k, x in enumerate(lo)], pa.int64())}
+            columns = {c: table[c].combine_chunks() for c in ("anchor", "content", "part")} | settled | open_
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    form = "anchor long, content long, part int, lo array<int>, hi array<int>, least array<long>, high array<long>, low array<long>, times array<long>, smallest array<long>, greatest array<long>"
+    verdicts, _ = written(shards.mapInArrow(judged, form), "verdicts")
+    drop(spark, distinct_path)
     # windows of split anchors: one row for each shard and different window, merged over the shards
-    opened = verdicts.filter(F.size("high") > 0).select("anchor", "content", "part", "own", F.posexplode(F.arrays_zip("high", "low", "times", "least")).alias("at", "w"))
-    opened = opened.select("anchor", "content", "part", "own", "at", "w.high", "w.low", "w.times", "w.least")
-    local = opened.groupBy("anchor", "part", "high", "low").agg(F.max("times").alias("times"), F.min("least").alias("least"))
-    merged = merge(local) if merge else local.groupBy("high", "low").agg(F.sum("times").alias("times"), F.min("least").alias("least"))
-    merged = merged.filter("times > 1").withColumnsRenamed({"times": "all_times", "least": "all_least"})
-    back = opened.join(merged, ["high", "low"]).filter(F.col("all_least") < F.col("own") if by_document else F.lit(True))
-    late = back.groupBy("anchor", "content").agg(F.collect_set("at").alias("lo")).select("anchor", "content", "lo", F.transform("lo", lambda x: x + 1).alias("hi"))
-    settled = verdicts.filter(F.size("lo") > 0).select("anchor", "content", "lo", "hi")
-    spans = settled.unionByName(late)
-
-    found = cells.join(distinct.select("anchor", "content", F.col("least")), ["anchor", "content"]) if by_document else cells
+    opened = verdicts.filter(F.size("high") > 0).select("anchor", "content", "part", F.posexplode(F.arrays_zip("high", "low", "times", "smallest", "greatest")).alias("at", "w"))
+    opened = opened.select("anchor", "content", "part", "at", "w.high", "w.low", "w.times", F.col("w.smallest").alias("least"), F.col("w.greatest").alias("most"))
+    key = ["anchor", "part", "high", "low"]
+    local, _ = written(opened.groupBy(*key).agg(F.max("times").alias("times"), F.min("least").alias("least"), F.max("most").alias("most")), "local")
+    merged = merge(local).filter("least < most" if by_document else "times > 1").select("high", "low", F.col("least").alias("all_least"))
+    handed = local.join(merged, ["high", "low"]).select(*key, "all_least")
+    back = opened.select("content", "at", *key).join(handed, key)
+    late = back.groupBy("anchor", "content").agg(F.sort_array(F.collect_set(F.struct("at", "all_least"))).alias("w"))
+    late = late.select("anchor", "content", F.col("w.at").alias("lo"), F.transform("w.at", lambda x: x + 1).alias("hi"), F.col("w.all_least").alias("least"))
+    spans = verdicts.filter(F.size("lo") > 0).select("anchor", "content", "lo", "hi", "least").unionByName(late)
+
+    here = lambda x: F.struct((x["lo"] + F.col("first")).alias("lo"), (x["hi"] + F.col("first")).alias("hi"), (x["least"] < F.col("place")).alias("later"))
+    found = cells.join(spans, ["anchor", "content"]).select("place", "text_hash", F.transform(F.arrays_zip("lo", "hi", "least"), here).alias("runs"))
     if by_document:
-        # beyond the least document of a stretch all its windows go
-        later = found.filter("place > least").select("place", "text_hash", F.array(F.col("first")).alias("lo"), F.array(F.col("first") + F.col("count")).alias("hi"))
-        found = found.filter("place = least")
-    first = found.join(spans, ["anchor", "content"]).select(
-        "place", "text_hash", *[F.transform(c, lambda x: x + F.col("first")).alias(c) for c in ("lo", "hi")]
-    )
-    gone = (first.unionByName(later) if by_document else first).groupBy("place", "text_hash").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
+        found = found.withColumn("runs", F.filter("runs", lambda x: x["later"])).filter(F.size("runs") > 0)
+    # a set: repeated rows have the same runs many times
+    gone = found.groupBy("place", "text_hash").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    gone = gone.select("place", "text_hash", *[F.col(f"runs.{c}").alias(c) for c in ("lo", "hi", "later")])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in A.chunks(batch.column("text")):
                 part = batch.slice(chunk.first, chunk.last - chunk.first)
-                bounds = [_values(part.column(c)) for c in ("lo", "hi")]
+                bounds = [_values(part.column(c)) for c in ("lo", "hi", "later")]
                 out = {"doc_id": part.column("doc_id")} | apply(chunk, *bounds)
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return texts.join(gone, ["place", "text_hash"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(applied, schema)
+    return texts.join(gone, ["place", "text_hash"], "left").select("doc_id", "text", "lo", "hi", "later").mapInArrow(applied, schema)
 
 
 def _values(lists: pa.Array) -> list[np.ndarray]:
-    return [np.zeros(0, np.int64) if not x.is_valid else x.values.to_numpy().astype(np.int64) for x in lists]
+    return [np.zeros(0, np.int64) if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
 
 
-def _runs(flags: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each piece of `sizes` flags, where runs of set flags start and end."""
+def _runs(flags: np.ndarray, sizes: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each piece of `sizes` flags, where runs of set flags with one value start and end."""
     ends = np.cumsum(sizes)
     base = ends - sizes
-    before, after = np.append(False, flags[:-1]), np.append(flags[1:], False)
+    same = value[1:] == value[:-1]
+    before, after = np.append(False, flags[:-1] & same), np.append(flags[1:] & same, False)
     edge = np.zeros(len(flags) + 1, dtype=bool)
     edge[base] = True
     lo = np.flatnonzero(flags & (~before | edge[:-1]))
@@ -253,6 +261,12 @@ def _runs(flags: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[
     return [lo_in[a:b] for a, b in zip(cuts[:-1], cuts[1:])], [hi_in[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def runs_of(flags: np.ndarray) -> list[dict[str, int]]:
+    """The maximal runs of set flags as start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return [{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
+
 def cover(lo: np.ndarray, hi: np.ndarray, length: int, total: int) -> np.ndarray:
     """Which tokens windows [lo, hi) of `length` tokens cover."""
     flags = np.zeros(total + 1, dtype=np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,16 +31,28 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+
+def word_digests(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def byte_digests(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_bytes", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_later")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_words
 
-    return remove_repeated_words(table(spark, sf_dir, "documents"))
+    return word_digests(remove_repeated_words(table(spark, sf_dir, "documents")))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_array_dedup import remove_repeated_strings
 
-    return remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return byte_digests(remove_repeated_strings(table(spark, sf_dir, "documents")))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +116,18 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN lea
 each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 399]) AS t FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+times AS (SELECT t, count(*) AS n, min(doc_id) AS m FROM win GROUP BY t),
+gone AS (SELECT doc_id, i, m < doc_id AS later FROM win JOIN times USING (t) WHERE n > 1),
+reach AS (SELECT *, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM gone),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT *, count(*) FILTER (p IS NULL OR i > p + 400) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM reach) GROUP BY doc_id, g),
+least AS (SELECT doc_id, sum(least(400, coalesce(i - q, 400))) AS n FROM reach WHERE later GROUP BY doc_id),
+ends AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS before, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next FROM spans),
+kept AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before:lo - 1]) || CASE WHEN next IS NULL THEN hex(b[hi:octet_length(b)]) ELSE '' END, '' ORDER BY lo) AS t FROM ends JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN t IS NULL THEN b ELSE unhex(t) END) AS kept_sha256, coalesce(n, 0)::BIGINT AS n_later
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN least USING (doc_id)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, {_benchmark_words('text')} AS ws FROM documents),
 b AS (SELECT item_id, {_benchmark_words('text')} AS ws FROM benchmark),

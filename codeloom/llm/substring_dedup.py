@@ -2,10 +2,12 @@
 
 A word goes if a window of `WINDOW` consecutive words covers it whose words also start in a document with a
 lesser id. The suffixes that matter start at windows, and are sampled by their anchor (see `_repeats`), so
-the suffixes of one anchor are a partition of their own. In a shard, suffixes are split by prefixes of variable
+the suffixes of one anchor are a partition of their own: the corpus is split by runs of `GRAM` words, and an anchor with
+too many different stretches over several shards. In a shard, suffixes are split by prefixes of variable
 length: a group that is larger than `GROUP` suffixes is split by one more word, again and again. Each group's
 subtree is built by sorting its suffixes and taking the common prefixes of neighbours; internal nodes at depth
-`WINDOW` or more are the repeats, and the least document under a node says which of its leaves go.
+`WINDOW` or more are the repeats, and the least document under a node says which of its leaves go. Every removal comes
+from such a node: equal stretches are only counted together before they enter a tree, and each gets its windows' nodes back.
 
 Null and empty texts have no words; texts of fewer than `WINDOW` words lose nothing. A null id sorts after
 all others. Documents with the same id don't remove each other's windows; repeated rows give repeated rows.
@@ -19,14 +21,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._repeats import Classes, Shard, cover, removed_windows
+from ._repeats import Classes, Shard, cover, removed_windows, runs_of
 
 WINDOW = 50
 GRAM = 25
 GROUP = 8192
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+SCHEMA = "doc_id long, n_words long, kept string, spans array<struct<start int, end int>>"
 
 
 def _tokens(chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -96,27 +99,32 @@ def window_classes(shard: Shard, length: int = WINDOW, most: int = GROUP) -> Cla
     return cls, A.span_hash(sums, first, first + length).view(np.int64), A.span_hash(more, first, first + length).view(np.int64)
 
 
-def _apply(chunk: A.Chunk, lo: list[np.ndarray], hi: list[np.ndarray]) -> dict[str, pa.Array]:
-    w = A.words(chunk)
-    n = np.diff(w.bounds)
-    removed, digests = np.zeros(len(n), np.int64), []
-    for k in range(len(n)):
+def merge_nodes(local: DataFrame) -> DataFrame:
+    """Nodes of the shards of split anchors, put together over equal windows."""
+    return local.groupBy("high", "low").agg(F.sum("times").alias("times"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _apply(chunk: A.Chunk, lo: list[np.ndarray], hi: list[np.ndarray], later: list[np.ndarray]) -> dict[str, pa.Array]:
+    sizes, spans, kept = [], [], []
+    for k in range(len(lo)):
         raw = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]].tobytes().split()
+        sizes.append(len(raw))
+        spans.append([])
         if len(lo[k]):
             gone = cover(lo[k], hi[k], WINDOW, len(raw))
-            removed[k] = gone.sum()
+            spans[-1] = runs_of(gone)
             raw = [x for x, g in zip(raw, gone.tolist()) if not g]
-        digests.append(hashlib.sha256(b" ".join(raw)).hexdigest())
-    return {"n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string())}
+        kept.append(b" ".join(raw))
+    return {"n_words": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
 
 
 def remove_repeated_words(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the digest of the kept words of each document."""
-    return removed_windows(docs, _tokens, _span, window_classes, WINDOW, GRAM, True, _apply, SCHEMA)
+    """doc_id, n_words, the kept words joined by blanks, and the runs of removed words (from, to the one after the last) of each document."""
+    return removed_windows(docs, _tokens, _span, window_classes, WINDOW, GRAM, True, _apply, SCHEMA, merge_nodes)
 
 
 def brute_force(docs: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The same by plain comparison, for tests."""
+    """Number of words and of removed words, and digest of the kept ones, by plain comparison, for tests."""
     split = [(d, (t or "").encode().split()) for d, t in docs]
     none = float("inf")
     least: dict[tuple, float] = {}

@@ -3,7 +3,11 @@
 A byte goes if a string of `LENGTH` bytes covers it that also starts anywhere else. Shards are made so that equal
 strings meet in one (see `_repeats`): each gets a suffix array by Larsson and Sadakane's refinement and common
 prefixes by Kasai's rule, run for all pieces of the shard in step. An anchor with too many different stretches lies in
-several shards; their different strings are sorted by hash and looked up in each other's by binary search.
+several shards; each hands on its different strings in order of their hash, and one shard after the other is looked up
+by binary search in what the shards before it have, a bounded range of hashes at a time.
+
+Every copy goes, the first one too. For users who want to keep the first, `n_later` counts the bytes covered by strings
+that also start in a document with a lesser id.
 
 Null and empty texts have no bytes; texts shorter than `LENGTH` lose nothing. Repeated rows, with or without an
 id, are documents of their own and remove each other's strings. Only doc_id and text are read, whatever else the
@@ -21,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._repeats import Classes, Shard, cover, removed_windows
+from ._repeats import Classes, Shard, cover, removed_windows, runs_of
 
 LENGTH = 400
 GRAM = 200
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Strings of a range of hashes, about, that shards are merged over.
+RANGE = 1 << 16
+SCHEMA = "doc_id long, n_bytes long, kept binary, spans array<struct<start int, end int>>, n_later long"
 
 
 def _tokens(chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -106,67 +112,100 @@ def string_classes(shard: Shard, length: int = LENGTH) -> Classes:
     return cls, A.span_hash(sums, first, first + length).view(np.int64), A.span_hash(more, first, first + length).view(np.int64)
 
 
+def place_of(highs: np.ndarray, lows: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where each pair is in the sorted pairs, or would stand."""
+    at = np.searchsorted(highs, high)
+    while True:  # past pairs with the same first half and a lesser second one
+        short = at < len(highs)
+        short[short] = (highs[at[short]] == high[short]) & (lows[at[short]] < low[short])
+        if not short.any():
+            return at
+        at[short] += 1
+
+
 def merge_shards(local: DataFrame) -> DataFrame:
-    """Totals of each string over the shards it is in: the sorted strings of a shard are looked up in the others' by binary search."""
+    """Totals of each string over the shards it is in. A task holds the strings of one range of hashes."""
+    n = local.count()
+    bits = max(0, (n // RANGE).bit_length())
+    ranged = local.withColumn("range", F.shiftrightunsigned("high", 64 - bits) if bits else F.lit(0).cast("long"))
+    names = ("high", "low", "times", "least", "most")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        if not len(table):
-            return
-        high, low, part, times, least = (table[c].to_numpy() for c in ("high", "low", "part", "times", "least"))
-        pair = np.empty(len(high), dtype=[("h", "<i8"), ("l", "<i8")])
-        pair["h"], pair["l"] = high, low
-        order = np.lexsort((low, high))
-        ordered = pair[order]
-        distinct = ordered[np.append(True, ordered[1:] != ordered[:-1])]
-        highs, total, lowest = distinct["h"], np.zeros(len(distinct), np.int64), np.full(len(distinct), (1 << 63) - 1)
-        for shard in np.unique(part):
-            own = np.flatnonzero(part == shard)
-            at = np.searchsorted(highs, high[own])
-            wrong = np.flatnonzero(distinct["l"][at] != low[own])
-            if len(wrong):  # equal first halves of the hash: search by both
-                at[wrong] = np.searchsorted(distinct, pair[own[wrong]])
-            np.add.at(total, at, times[own])
-            np.minimum.at(lowest, at, least[own])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct["h"].copy(), distinct["l"].copy(), total, lowest)], names=["high", "low", "times", "least"])
-
-    return local.repartition("high").select("high", "low", "part", "times", "least").mapInArrow(merged, "high long, low long, times long, least long")
-
-
-def _apply(chunk: A.Chunk, lo: list[np.ndarray], hi: list[np.ndarray]) -> dict[str, pa.Array]:
-    n = np.diff(chunk.offsets)
-    removed, spans, digests = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), []
-    for k in range(len(n)):
+        none = np.zeros(0, np.int64)
+        current, have = None, dict.fromkeys(names, none)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in have.values()], names=list(have))
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("range", "anchor", "part")]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if keys[0][lo] != current:
+                    if len(have["high"]):
+                        yield out()
+                    current, have = keys[0][lo], dict.fromkeys(names, none)
+                own = {c: batch.column(c).to_numpy()[lo:hi] for c in names}
+                at = place_of(have["high"], have["low"], own["high"], own["low"])
+                known = at < len(have["high"])
+                known[known] = (have["high"][at[known]] == own["high"][known]) & (have["low"][at[known]] == own["low"][known])
+                spot = at[known]  # a shard has a string once
+                have = {c: x.copy() for c, x in have.items()}
+                have["times"][spot] += own["times"][known]
+                have["least"][spot] = np.minimum(have["least"][spot], own["least"][known])
+                have["most"][spot] = np.maximum(have["most"][spot], own["most"][known])
+                have = {c: np.insert(have[c], at[~known], own[c][~known]) for c in names}
+        if len(have["high"]):
+            yield out()
+
+    dealt = ranged.repartition("range").sortWithinPartitions("range", "anchor", "part", "high", "low").select("range", "anchor", "part", *names)
+    return dealt.mapInArrow(merged, ", ".join(f"{c} long" for c in names))
+
+
+def _apply(chunk: A.Chunk, lo: list[np.ndarray], hi: list[np.ndarray], later: list[np.ndarray]) -> dict[str, pa.Array]:
+    spans, kept, n_later = [], [], np.zeros(len(lo), np.int64)
+    for k in range(len(lo)):
         own = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
+        spans.append([])
         if len(lo[k]):
             gone = cover(lo[k], hi[k], LENGTH, len(own))
-            removed[k] = gone.sum()
-            spans[k] = (gone & ~np.append(False, gone[:-1])).sum()
+            some = later[k] > 0
+            n_later[k] = cover(lo[k][some], hi[k][some], LENGTH, len(own)).sum()
+            spans[-1] = runs_of(gone)
             own = own[~gone]
-        digests.append(hashlib.sha256(own.tobytes()).hexdigest())
-    return {"n_bytes": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())}
+        kept.append(own.tobytes())
+    sizes = np.diff(chunk.offsets).astype(np.int64)
+    return {"n_bytes": pa.array(sizes), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "n_later": pa.array(n_later)}
 
 
 def remove_repeated_strings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes of each document."""
+    """doc_id, n_bytes, the remaining bytes, the runs of removed bytes (from, to the one after the last), and n_later, of each document."""
     return removed_windows(docs, _tokens, _span, string_classes, LENGTH, GRAM, False, _apply, SCHEMA, merge_shards)
 
 
 def brute_force(docs: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple]:
-    """The same by plain comparison, for tests."""
-    from collections import Counter
-
+    """Numbers of bytes, of removed ones and of their runs, digest of the rest, and n_later, by plain comparison, for tests."""
     raw = [(d, (t or "").encode()) for d, t in docs]
-    times = Counter(b[k : k + length] for _, b in raw for k in range(len(b) - length + 1))
+    none = float("inf")
+    times: dict[bytes, int] = {}
+    least: dict[bytes, float] = {}
+    for d, b in raw:
+        for k in range(len(b) - length + 1):
+            x = b[k : k + length]
+            times[x] = times.get(x, 0) + 1
+            least[x] = min(least.get(x, none), none if d is None else d)
     out = []
     for d, b in raw:
-        gone = bytearray(len(b))
+        gone, later = bytearray(len(b)), bytearray(len(b))
         for k in range(len(b) - length + 1):
-            if times[b[k : k + length]] > 1:
+            x = b[k : k + length]
+            if times[x] > 1:
                 gone[k : k + length] = b"\1" * length
+            if least[x] < (none if d is None else d):
+                later[k : k + length] = b"\1" * length
         spans = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
-        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest(), sum(later)))
     return out

@@ -145,19 +145,35 @@ def union_lengths(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limit: int | None = None, width: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+class Levels:
+    """Ranks at prefix lengths 1, 2, 4 and so on, made when asked for: kept is one byte a place, the first level that tells it from the place before."""
+
+    def __init__(self, order: np.ndarray, born: np.ndarray, count: int):
+        self.order, self.born, self.count = order, born, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        head = np.maximum.accumulate(np.where(self.born <= k, np.arange(len(self.order)), 0))
+        rank = np.empty(len(self.order), dtype=np.int64)
+        rank[self.order] = head
+        return rank
+
+
+def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limit: int | None = None, width: int = 1) -> tuple[np.ndarray, Levels]:
     """Suffix array of the concatenated segments by refinement of unsorted groups (Larsson and Sadakane).
 
     tokens: non-negative integers, sorted as integers. segment: of each position, non-decreasing; a suffix
     ends with its segment. ends: of each position, the end of its segment. The suffixes are first ordered by
     one token; each round then orders every group that isn't a single suffix by the rank that the suffix has
     `step` positions on, and doubles the step. limit: prefixes of that many tokens are told apart, no more.
-    width: how many positions a token tells apart already. Returns the array, and, for a width of 1, the rank of
-    each position at prefix lengths 1, 2, 4 and so on.
+    width: how many positions a token tells apart already. Returns the array, and the rank of each position at
+    prefix lengths 1, 2, 4 and so on times the width.
     """
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), Levels(np.zeros(0, np.int64), np.zeros(0, np.uint8), 0)
     order = np.argsort(tokens)
     ordered = tokens[order]
     new = np.ones(n, dtype=bool)
@@ -165,7 +181,8 @@ def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limi
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = head
-    levels = [rank.copy()] if width == 1 else []
+    born = np.where(new, 0, 255).astype(np.uint8)
+    count = 1
     step = width
     single = new & np.append(new[1:], True)
     active = np.flatnonzero(~single)  # places in the array whose group isn't a single suffix
@@ -184,16 +201,17 @@ def suffix_ranks(tokens: np.ndarray, segment: np.ndarray, ends: np.ndarray, limi
         head = active[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         rank[at] = head
         step *= 2
-        if width == 1:
-            levels.append(rank.copy())
+        first = active[new]
+        born[first[born[first] == 255]] = count
+        count += 1
         single = new & np.append(new[1:], True)
         # suffixes that end at the same length and are equal stay together: they can't be told apart
         stuck = key < 0
         active = active[~single & ~stuck]
-    return order, levels
+    return order, Levels(order, born, count)
 
 
-def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+def common_prefix(levels: Levels, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """Common prefix lengths of pairs of suffixes, from the ranks at prefix lengths 2**k.
 
     A rank at level k tells prefixes of 2**k tokens apart only for positions with so many tokens left.
@@ -202,10 +220,11 @@ def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, end_a:
     out = np.zeros(len(a), dtype=np.int64)
     for k in range(len(levels) - 1, -1, -1):
         step = 1 << k
+        rank = levels[k]
         again = True
         while again:
             room = np.flatnonzero((a + step <= end_a) & (b + step <= end_b))
-            same = room[levels[k][a[room]] == levels[k][b[room]]]
+            same = room[rank[a[room]] == rank[b[room]]]
             out[same] += step
             a[same] += step
             b[same] += step

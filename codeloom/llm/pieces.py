@@ -30,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: A cache of encoded parts is emptied at so many entries or characters; longer parts are not remembered.
 CACHE_PARTS = 200_000
+CACHE_CHARS = 8_000_000
+CACHE_LONGEST = 1_000
 CACHE_PAIRS = 1_000_000
 UNKNOWN = -1
 
@@ -70,6 +73,7 @@ class PieceTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.beside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.held: dict[int, int] = {}
         self.done: dict[str, tuple[int, str, str]] = {}
         self.fine: dict[str, list[int]] = {}
 
@@ -122,6 +126,15 @@ class PieceTable:
         ids.reverse()
         return ids
 
+    def remember(self, cache: dict, part: str, got) -> None:
+        if len(part) > CACHE_LONGEST:
+            return
+        held = self.held.get(id(cache), 0) + len(part)
+        if len(cache) >= CACHE_PARTS or held > CACHE_CHARS:
+            cache.clear()
+            held = len(part)
+        cache[part], self.held[id(cache)] = got, held
+
     def encode_finely(self, part: str) -> list[int]:
         """encode_part, cut where two characters stand side by side in no piece; what lies between cuts is remembered."""
         ids, start = [], 0
@@ -130,9 +143,8 @@ class PieceTable:
                 some = part[start:k]
                 got = self.fine.get(some)
                 if got is None:
-                    if len(self.fine) >= CACHE_PARTS:
-                        self.fine.clear()
-                    got = self.fine[some] = self.encode_part(some)
+                    got = self.encode_part(some)
+                    self.remember(self.fine, some, got)
                 ids += got
                 start = k
         return ids
@@ -148,10 +160,9 @@ class PieceTable:
         """The number of ids of a part, the ids with commas, and what they decode to; remembered."""
         got = self.done.get(part)
         if got is None:
-            if len(self.done) >= CACHE_PARTS:
-                self.done.clear()
             ids = self.encode_finely(part.replace(" ", MARK))
-            got = self.done[part] = (len(ids), ",".join(map(str, ids)), self.spell(ids))
+            got = len(ids), ",".join(map(str, ids)), self.spell(ids)
+            self.remember(self.done, part, got)
         return got
 
     def spell(self, ids: list[int]) -> str:

@@ -6,14 +6,18 @@ network, a permutation of the values of each format. So a value has one pseudony
 values stay different, and the signs between the digits stay where they are.
 
 * card (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the new check digit.
-* ip: the 32 bits are permuted. * ssn: all 9 digits. * iban (mod 97 = 1): the last 10 characters are permuted, digits among
+* ip: the 32 bits are permuted. * ssn: the valid numbers are permuted among themselves (no area 000, 666 or 9xx, no
+  group 00, no serial 0000). * iban (mod 97 = 1): the last 10 characters are permuted, digits among
   digits and letters among letters, and the two check digits anew. * phone: the last 9 digits.
-* date (1900 to 2099, ISO, day.month.year or month/day/year): year and day of the year are permuted; the last
-  day of a leap year moves among leap years.
-* email: the local part becomes as many letters and digits as a keyed hash gives (at most 16), the domain stays.
+* date (1900 to 2099, ISO, day.month.year or month/day/year): the 73,049 days are permuted.
+* email: letters of the local part are permuted among letters and digits among digits, small and capital letters and other
+  signs staying where they are; the domain stays.
+
+A permutation can be undone with its key, so the key is a secret: there is no default. Equal values of a kind, ties and
+repeated rows get equal pseudonyms.
 
 Each text is rewritten alone and whole; nothing is shuffled. Null texts stay null, empty texts empty. Other
-columns are not read. Repeated rows give repeated results.
+columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 from .spans import pieces_and_matches
 
 ROUNDS = 8
-DEFAULT_KEY = "pseudonym-key-1"
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
@@ -33,6 +36,8 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Cheap test: every pattern needs one of these signs.
+NEEDS = "[@0-9]"
 FOUND = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN, IBAN, PHONE, CARD))
 
 
@@ -180,14 +185,16 @@ def _date_of(value: Column) -> Column:
     return F.try_to_date(iso, "yyyy-MM-dd")
 
 
+#: Days from 1900 to 2099 as the product of two numbers, and the first as days since 1970.
+DAYS = (17, 4297)
+FIRST_DAY = -25567
+
+
 def _date(key: str, value: Column) -> Column:
-    day = _date_of(value)
-    year, number = F.year(day), F.dayofyear(day)
-    s = feistel(key, year - 1900, number - 1, F.lit(200).cast("long"), F.lit(365).cast("long"), "date")
-    moved = F.date_add(F.make_date((s["a"] + 1900).cast("int"), F.lit(1), F.lit(1)), s["b"].cast("int"))
-    # the 49 leap years from 1904 to 2096
-    leap = F.pmod(((year - 1904) / 4).cast("long") + 1 + _number(key, F.lit("leap"), F.lit(48).cast("long")), F.lit(49).cast("long"))
-    new = F.when(number == 366, F.make_date((1904 + 4 * leap).cast("int"), F.lit(12), F.lit(31))).otherwise(moved)
+    sizes = [F.lit(n).cast("long") for n in DAYS]
+    number = F.unix_date(_date_of(value)) - FIRST_DAY
+    s = feistel(key, (number / DAYS[1]).cast("long"), F.pmod(number, F.lit(DAYS[1])), *sizes, "date")
+    new = F.date_from_unix_date((s["a"] * DAYS[1] + s["b"] + FIRST_DAY).cast("int"))
     return (
         F.when(F.rlike(value, F.lit("^....-")), F.date_format(new, "yyyy-MM-dd"))
         .when(F.rlike(value, F.lit(r"^..\.")), F.date_format(new, "dd.MM.yyyy"))
@@ -195,10 +202,49 @@ def _date(key: str, value: Column) -> Column:
     )
 
 
+#: Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def _ssn(key: str, value: Column) -> Column:
+    area, group, serial = (value.substr(*x).cast("long") for x in ((1, 3), (5, 2), (8, 4)))
+    place = area - F.when(area > 666, 2).otherwise(1)
+    s = feistel(key, place * GROUPS + group - 1, serial - 1, F.lit(AREAS * GROUPS).cast("long"), F.lit(SERIALS).cast("long"), "ssn")
+    new = F.floor(s["a"] / GROUPS)
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return F.concat_ws("-", pad(new + F.when(new >= 665, 2).otherwise(1), 3), pad(F.pmod(s["a"], F.lit(GROUPS)) + 1, 2), pad(s["b"] + 1, 4))
+
+
+def _sign_size(c: Column) -> Column:
+    """How many signs a character may become: ten digits, 26 letters, itself alone."""
+    return F.when(F.rlike(c, F.lit("^[0-9]$")), 10).when(F.rlike(c, F.lit("^[a-z]$")), 26).otherwise(1)
+
+
 def _email(key: str, value: Column) -> Column:
-    local = F.lower(F.substring_index(value, "@", 1))
-    name = F.sha2(F.concat(F.lit(key + "|email|"), F.lower(value)), 256)
-    return F.concat(F.lit("u"), name.substr(F.lit(1), F.greatest(F.least(F.length(local), F.lit(16)), F.lit(8))), F.lit("@"), F.substring_index(value, "@", -1))
+    """The halves of the local part shift each other in turn, character by character, each within its own alphabet."""
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    low = F.lower(local)
+    half = F.floor(F.length(low) / 2).cast("int")
+    form = F.regexp_replace(F.regexp_replace(low, "[0-9]", "0"), "[a-z]", "a")
+    start = F.struct(low.substr(F.lit(1), half).alias("a"), low.substr(half + 1, F.length(low)).alias("b"))
+
+    def shifted(signs: Column, by: Column, r: Column) -> Column:
+        # 32 bytes, as many as a half may have characters
+        stream = F.sha2(F.concat_ws("|", F.lit(f"{key}|email"), F.lower(domain), form, r.cast("string"), by), 256)
+
+        def one(c: Column, i: Column) -> Column:
+            first = F.when(F.rlike(c, F.lit("[0-9]")), 48).otherwise(97)
+            moved = F.pmod(F.ascii(c) - first + F.conv(stream.substr(2 * i + 1, F.lit(2)), 16, 10).cast("int"), _sign_size(c))
+            return F.when(_sign_size(c) > 1, F.char(moved + first)).otherwise(c)
+
+        return F.array_join(F.transform(_signs(signs), one), "")
+
+    def round_(state: Column, r: Column) -> Column:
+        return F.struct(F.when(r % 2 == 0, shifted(state["a"], state["b"], r)).otherwise(state["a"]).alias("a"), F.when(r % 2 == 1, shifted(state["b"], state["a"], r)).otherwise(state["b"]).alias("b"))
+
+    new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, lambda s: F.concat(s["a"], s["b"]))
+    cased = F.zip_with(_signs(local), _signs(new), lambda old, c: F.when(F.rlike(old, F.lit("[A-Z]")), F.upper(c)).otherwise(c))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
 
 
 def kind_of(value: Column) -> Column:
@@ -224,17 +270,19 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "phone", _phone(key, value))
         .when(kind == "email", _email(key, value))
         .when(kind == "date", _date(key, value))
-        .when(kind == "ssn", refill(value, permute_digits(key, _digits(value), "ssn")))
+        .when(kind == "ssn", _ssn(key, value))
         .when(kind == "iban", _iban(key, value))
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """doc_id, numbers and dates replaced, and the new text of each document."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, numbers and dates replaced, and the new text of each document. key: a secret of the caller."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text").cast("string")
     pieces, matches = pieces_and_matches(text, FOUND)
-    hit = F.regexp_like(text, F.lit(FOUND))
+    hit = F.regexp_like(text, F.lit(NEEDS)) & F.regexp_like(text, F.lit(FOUND))
     kinds = "array<struct<value:string,kind:string>>"
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -2,16 +2,17 @@
 
 Base spans come from three patterns. Further candidates are long mixed tokens anywhere else. The hashes of
 all candidate values are counted over the corpus: in how many repositories (documents) and by how many owners
-(sources) each occurs. A value that few owners have and that doesn't look made up is taken for a live
-credential; one that many owners have was copied from an example. Live tokens outside the base spans are
-added as spans of kind `owner`; base spans always stay.
+(sources) each occurs. A value that few owners have, in few repositories, and that doesn't look made up is taken for a
+live credential; one that many owners have, or that one owner has copied into many repositories, is an example. Live
+tokens outside the base spans are added as spans of kind `owner`; base spans always stay, and are counted as live or copied.
 
 Counts are summed per value and owner before they are shuffled by value, so an example that a third of the
 corpus holds is one row of each task. What is joined back to the documents is keyed by id and text hash
 and never holds their text.
 
 Null and empty texts have no spans. Documents with the same id and text get the same result, one row each. A
-null source counts as one owner. Only doc_id, text and source are read, whatever else the table has.
+null source counts as one owner, and so does a table without that column. Only doc_id, text and source are read,
+whatever else the table has. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ KINDS = ("assign", "access", "hex", "owner")
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 #: A value that more owners have is an example.
 MAX_OWNERS = 2
+#: So is a value in more repositories, whoever owns them.
+MAX_REPOSITORIES = 20
 #: Values with these words, or that repeat one character often, are made up.
 MADE_UP = r"(?i)(example|sample|changeme|placeholder|dummy|your_|xxxx|1234567890|(.)\2{7,})"
 REDACTED = "[SECRET]"
@@ -65,13 +68,14 @@ def _mixed(value: Column) -> Column:
     return (has("[0-9]") == 1) & (has("[a-z]") + has("[A-Z]") + has("[+/_=-]") >= 2)
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, text_hash, and spans as array<struct<start, order, end, kind, hash, made_up, live>> of each document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    owner = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(owner, F.lit("")).alias("owner"),
         base_spans(text).alias("base"),
         _tagged(F.filter(match_spans(text, TOKEN), lambda s: _mixed(s["value"])), "owner", lambda s: s["value"]).alias("tokens"),
     )
@@ -83,7 +87,7 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     values = found.filter(F.size("spans") > 0).select("doc_id", "text_hash", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     by_owner = values.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     frequency = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    live = frequency.filter(F.col("owners") <= max_owners).select("hash")
+    live = frequency.filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
     kept = values.join(live, "hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("live"))
     left, right = found.alias("l"), kept.alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash"))
@@ -100,10 +104,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_counts(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: base counts, their digest, and all spans as a string."""
+def secret_counts(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per document: base counts, their digest, all spans as a string, and how many are live or copied."""
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return find_secrets(docs, max_owners).select(
+    return find_secrets(docs, max_owners, max_repositories).select(
         "doc_id",
         n("assign").alias("n_assign"),
         n("access").alias("n_access"),
@@ -111,21 +115,33 @@ def secret_counts(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         F.sha2(_listed(F.filter("spans", lambda s: s["kind"] != "owner")), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
 
 
-def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The input with every span's text replaced; other documents and columns as they were."""
-    spans = find_secrets(docs, max_owners).filter(F.size("spans") > 0).select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).distinct()
-    left, right = docs.alias("l"), spans.alias("r")
+def may_hold_secrets(text: Column) -> Column:
+    """Whether a text has anything that a span could start from."""
+    return F.coalesce(F.regexp_like(text, F.lit(f"{ASSIGN}|{ACCESS[:-1]}{{{LEAST['access'] - 4},}}|{HEX[:-1]}{{{LEAST['hex']},}}|{TOKEN}")), F.lit(False))
+
+
+def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """The input with every span's text replaced; other documents and columns as they were. Only texts that may hold secrets meet their spans in a join."""
+    spans = find_secrets(docs, max_owners, max_repositories).filter(F.size("spans") > 0).select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).distinct()
+    loud = may_hold_secrets(F.col("text").cast("string"))
+    left, right = docs.filter(loud).alias("l"), spans.alias("r")
     same = F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("l.text") == F.col("r.text_hash"))
     text = F.col("l.text")
 
     def step(state: Column, s: Column) -> Column:
-        gap = text.substr(state["at"].cast("int") + 1, (s["start"] - state["at"]).cast("int"))
-        new = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(REDACTED))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("r.spans", start, step, lambda s: F.concat(s["out"], text.substr(s["at"].cast("int") + 1, F.length(text))))
-    return left.join(right, same, "left").select(*[F.when(F.col("r.spans").isNotNull(), done).otherwise(text).alias(c) if c == "text" else F.col(f"l.{c}") for c in docs.columns])
+        # spans that overlap or touch the one before make one
+        joins = s["start"] < state["at"]
+        gap = F.struct(state["at"].alias("from"), s["start"].alias("to"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(joins, state["gaps"]).otherwise(F.concat(state["gaps"], F.array(gap))).alias("gaps"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("gaps"))
+    cut = lambda lo, size: text.substr(lo.cast("int") + 1, size.cast("int"))
+    done = F.aggregate(
+        "r.spans", start, step, lambda s: F.concat(F.array_join(F.transform(s["gaps"], lambda g: F.concat(cut(g["from"], g["to"] - g["from"]), F.lit(REDACTED))), ""), cut(s["at"], F.length(text)))
+    )
+    redacted = left.join(right, same, "left").select(*[F.when(F.col("r.spans").isNotNull(), done).otherwise(text).alias(c) if c == "text" else F.col(f"l.{c}") for c in docs.columns])
+    return docs.filter(~loud).unionByName(redacted)

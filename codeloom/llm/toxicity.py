@@ -6,8 +6,9 @@ the largest evidence, scaled by their ratio, feed a logistic regression with an
 (proximal gradient steps), so few weights stay. A text's score is the logistic of the sum over the distinct
 n-grams it has; whole texts are scored, in one pass without a shuffle.
 
-Training reads at most `MAX_POSITIVE` toxic and `MAX_NEGATIVE` other labelled texts of at most `MAX_BYTES`
-bytes, those that come first by a hash of the id: a bounded sample whatever the size of the corpus. Only rows
+Training reads at most `MAX_POSITIVE` toxic and `MAX_NEGATIVE` other labelled texts, those that come first by a hash of
+the id, and of these as many as `MAX_BYTES` bytes hold: a bounded sample whatever the size of the corpus. It is drawn
+from documents that have a text, and a text that is in it is read whole. Only rows
 whose crc32(doc_id as text) mod 3 is not 1 are learned from; a document with several labels is toxic if one says so.
 
 Null and empty texts score as texts without n-grams; null ids are never learned from and aren't held out.
@@ -17,6 +18,7 @@ Repeated rows give repeated results; only doc_id and text of the documents are r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from . import _arrays as A
 
 MAX_POSITIVE = 1500
 MAX_NEGATIVE = 3000
-MAX_BYTES = 20_000
+MAX_BYTES = 64 << 20
 GRAMS = (5, 6, 8)
 BUCKET_BITS = 20
 MAX_FEATURES = 4_000
@@ -161,15 +163,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = None
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    # ids and sizes alone are sorted; a repeated id counts once, with its least text
+    sizes = text.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_hash")).join(known, "doc_id")
+    sizes = sizes.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("size", "text_hash")).alias("least"))
+    picked = []
     for toxic, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        first = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        sample = first if sample is None else sample.unionByName(first)
-    # the sample has at most MAX_POSITIVE + MAX_NEGATIVE rows of two numbers
-    rows = text.filter(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(sample), "doc_id")
-    # a repeated id may repeat rows; the bound holds for rows as well
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_POSITIVE + MAX_NEGATIVE).select("text", "toxic").toArrow()
+        picked += sizes.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic", "least.size", "least.text_hash").collect()
+    room, chosen = MAX_BYTES, []
+    for r in sorted(picked, key=lambda r: zlib.crc32(str(r.doc_id).encode())):
+        if r.size <= room:
+            room -= r.size
+            chosen.append((r.doc_id, r.toxic, r.text_hash))
+    # at most MAX_POSITIVE + MAX_NEGATIVE rows of three numbers
+    sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, text_hash long")
+    rows = text.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"])
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow()
     return fit(got["text"].combine_chunks(), got["toxic"].to_numpy())
 
 

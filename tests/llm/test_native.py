@@ -112,7 +112,7 @@ def luhn(d):
 def test_pseudonyms(spark):
     rows = [(i, t) for i, t in enumerate(PRIVATE)] + [(9, PRIVATE[0]), (10, None), (11, ""), (None, "plain"), (12, "long " * 30_000 + PRIVATE[1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as found", "2 as pieces")
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "k").collect()}
     a = re.findall(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", got[0].text)
     assert a[0] != "4757965300669737" and luhn(a[0]) and a[1].replace("-", "") == a[0] and a[2] == "4757965300669738"
     assert got[9].text == got[0].text and got[0].n_numbers == 2
@@ -140,7 +140,7 @@ def test_ibans_with_letters(spark):
     ibans = ["FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB82 WEST 1234 5698 7654 32"]
     wrong = "FR15 2004 1010 0505 0001 3M02 606"
     rows = [(i, f"iban {x} of it") for i, x in enumerate([*ibans, wrong])]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert [got[i].n_numbers for i in range(4)] == [1, 1, 1, 0] and got[3].text == rows[3][1]
     shape = lambda x: re.sub("[A-Z]", "A", re.sub(r"\d", "0", x))
     for i, old in enumerate(ibans):
@@ -163,3 +163,170 @@ def test_feistel_is_a_permutation(spark):
     assert len({r.p for r in out.collect()}) == 1000
     days = spark.sql("select explode(sequence(date'1900-01-01', date'2099-12-31')) d").select(pseudonyms._date("k", F.col("d").cast("string")).alias("p"))
     assert days.distinct().count() == 73049
+
+
+def number(key, what, modulus):
+    return int(hashlib.sha256(f"{key}|{what}".encode()).hexdigest()[:15], 16) % modulus
+
+
+def plain_feistel(key, a, b, left, right, tweak):
+    for r in range(8):
+        size = right if r % 2 else left
+        a, b = b, (a + number(key, f"{tweak}|{left}|{right}|{r}|{b}", size)) % size
+    return a, b
+
+
+def plain_digits(key, digits, tweak):
+    u = len(digits) // 2
+    v = len(digits) - u
+    a, b = plain_feistel(key, int(digits[:u]), int(digits[u:]), 10**u, 10**v, tweak)
+    return f"{a:0{u}d}{b:0{v}d}"
+
+
+def plain_fill(value, new, signs="0123456789"):
+    new = iter(new)
+    return "".join(next(new) if c in signs else c for c in value)
+
+
+def plain_kind(v):
+    import datetime
+
+    d = re.sub("[^0-9]", "", v)
+    if "@" in v:
+        return "email"
+    if re.fullmatch(r"\d+(\.\d+){3}", v):
+        return "ip" if all(int(x) < 256 for x in v.split(".")) else None
+    if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", v) or re.fullmatch(r"(?P<d>\d\d)\.(?P<m>\d\d)\.(?P<y>\d{4})", v) or re.fullmatch(r"(?P<m>\d\d)/(?P<d>\d\d)/(?P<y>\d{4})", v):
+        g = m.groupdict() or dict(zip("ymd", m.groups()))
+        try:
+            return datetime.date(int(g["y"]), int(g["m"]), int(g["d"]))
+        except ValueError:
+            return None
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+        return None if v[:3] in ("000", "666") or v[0] == "9" or v[4:6] == "00" or v[7:] == "0000" else "ssn"
+    if v[0].isupper():
+        x = v.replace(" ", "")
+        return "iban" if 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 else None
+    if re.fullmatch(pseudonyms.PHONE.replace(r"(?<![\w+])", "").replace(r"(?!\d)", ""), v, re.A):
+        return "phone" if 9 <= len(d) <= 15 else None
+    return "card" if luhn(d) else None
+
+
+def plain_email(key, v):
+    local, domain = v.split("@")[0], v.split("@")[-1]
+    low = local.lower()
+    h = len(low) // 2
+    form = re.sub("[a-z]", "a", re.sub("[0-9]", "0", low))
+    half = [low[:h], low[h:]]
+    for r in range(8):
+        stream = hashlib.sha256(f"{key}|email|{domain.lower()}|{form}|{r}|{half[1 - r % 2]}".encode()).digest()
+        half[r % 2] = "".join(chr((ord(c) - 48 + k) % 10 + 48) if c.isdigit() else chr((ord(c) - 97 + k) % 26 + 97) if c.isalpha() else c for c, k in zip(half[r % 2], stream))
+    return "".join(n.upper() if o.isupper() else n for o, n in zip(local, "".join(half))) + "@" + domain
+
+
+def plain_pseudonym(key, v):
+    import datetime
+
+    kind, d = plain_kind(v), re.sub("[^0-9]", "", v)
+    if isinstance(kind, datetime.date):
+        n = (kind - datetime.date(1900, 1, 1)).days
+        a, b = plain_feistel(key, n // 4297, n % 4297, 17, 4297, "date")
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=a * 4297 + b)
+        return "date", day.strftime("%Y-%m-%d" if v[4] == "-" else "%d.%m.%Y" if v[2] == "." else "%m/%d/%Y")
+    if kind == "card":
+        body = plain_digits(key, d[:-1], "card")
+        return kind, plain_fill(v, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "ip":
+        p = [int(x) for x in v.split(".")]
+        a, b = plain_feistel(key, p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        return kind, f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "phone":
+        return kind, plain_fill(v, d[: max(0, len(d) - 9)] + plain_digits(key, d[max(0, len(d) - 9) :], "phone"))
+    if kind == "ssn":
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = plain_feistel(key, areas.index(int(v[:3])) * 99 + int(v[4:6]) - 1, int(v[7:]) - 1, 898 * 99, 9999, "ssn")
+        return kind, f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "iban":
+        x = v.replace(" ", "")
+        radix = [10 if c.isdigit() else 26 for c in x[-10:]]
+        value = lambda signs: __import__("functools").reduce(lambda n, c: n * (10 if c.isdigit() else 26) + (int(c) if c.isdigit() else ord(c) - 65), signs, 0)
+        size = lambda r: __import__("math").prod(r)
+        ab = plain_feistel(key, value(x[-10:-5]), value(x[-5:]), size(radix[:5]), size(radix[5:]), "iban")
+        end = ""
+        for n, like in zip(ab, (radix[:5], radix[5:])):
+            out = ""
+            for r in reversed(like):
+                out = (str(n % 10) if r == 10 else chr(65 + n % 26)) + out
+                n //= r
+            end += out
+        body = x[4:-10] + end
+        check = 98 - int("".join(str(int(c, 36)) for c in body + x[:2] + "00")) % 97
+        return kind, plain_fill(v, f"{x[:2]}{check:02d}{body}", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return kind, plain_email(key, v) if kind == "email" else v
+
+
+def plain_pseudonymise(key, text):
+    kinds = []
+
+    def one(m):
+        kind, new = plain_pseudonym(key, m[0])
+        kinds.append(kind)
+        return new
+
+    new = re.sub(pseudonyms.FOUND, one, text, flags=re.A)
+    return sum(k in ("card", "ip", "phone", "ssn", "iban") for k in kinds), kinds.count("date"), kinds.count("email"), new
+
+
+def test_pseudonyms_equal_a_plain_version(spark):
+    import random
+
+    rnd = random.Random(5)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = digits(15)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return rnd.choice([d, "-".join(d[k : k + 4] for k in range(0, 16, 4)), " ".join(d[k : k + 4] for k in range(0, 16, 4)), d[:-1] + digits(1)])
+
+    make = [
+        card,
+        lambda: ".".join(str(rnd.randrange(300)) for _ in range(4)),
+        lambda: rnd.choice(["{:04d}-{:02d}-{:02d}", "{2:02d}.{1:02d}.{0:04d}", "{1:02d}/{2:02d}/{0:04d}"]).format(rnd.randrange(1890, 2110), rnd.randrange(1, 13), rnd.randrange(1, 32)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: rnd.choice(["GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE89370400440532013000", "DE89 3704"]),
+        lambda: rnd.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+49 {digits(3)} {digits(4)} {digits(3)}"]),
+        lambda: "".join(rnd.choice("abzABZ019._+-") for _ in range(rnd.choice([1, 2, 3, 9, 40, 64]))) + rnd.choice(["@mail.example.com", "@x.org", "@-"]),
+        lambda: rnd.choice(["é", "w", "\n", "12", "𝒳 ", "a@b"]),
+    ]
+    rows = [(i, " ".join(rnd.choice(make)() for _ in range(rnd.randrange(30)))) for i in range(120)]
+    got = {r.doc_id: (r.n_numbers, r.n_dates, r.n_emails, r.text) for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k2").collect()}
+    for i, text in rows:
+        assert got[i] == plain_pseudonymise("k2", text)
+    assert sum(x[0] for x in got.values()) > 200 and pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_pseudonyms_stay_valid_and_different(spark):
+    from pyspark.sql import functions as F
+
+    value = F.concat_ws("-", F.lpad((F.col("id") % 899 + 1).cast("string"), 3, "0"), F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 9999 + 1).cast("string"), 4, "0"))
+    out = spark.range(20_000).select(value.alias("v")).filter(pseudonyms.kind_of(F.col("v")) == "ssn").select(pseudonyms._ssn("k", F.col("v")).alias("p"))
+    assert out.count() == out.distinct().count() == out.filter(pseudonyms.kind_of(F.col("p")) == "ssn").count() > 19_000
+    name = spark.range(6760).select(F.concat(F.char(F.col("id") % 26 + 97), F.char((F.col("id") / 26).cast("int") % 26 + 97), (F.col("id") / 676).cast("int").cast("string"), F.lit("@x.org")).alias("v"))
+    out = name.select(pseudonyms._email("k", F.col("v")).alias("p"))
+    assert out.distinct().count() == 6760 and out.filter("p rlike '^[a-z]{2}[0-9]@x.org$'").count() == 6760
+    import pytest
+
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
+def test_copied_values_of_one_owner_are_examples(spark):
+    live, copied = "qZ8xV2nK4mP7rT1yW5bC9dF3", "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    rows = [(0, f"use {live} now and {copied}", "a")] + [(i, f"see {copied} here", "a") for i in range(1, 30)]
+    got = {r.doc_id: r for r in secrets.secret_counts(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[0].spans == "owner:4:28" and got[1].spans == "" and got[0].n_live == 1
+    assert secrets.secret_counts(spark.createDataFrame([(1, f"x {live}")], "doc_id long, text string")).collect()[0].spans == "owner:2:26"
+    many = " ".join(f"{k:016x}" for k in range(3000))
+    r = secrets.secret_counts(spark.createDataFrame([(1, many, "s")], DOC)).collect()[0]
+    assert r.n_hex == 3000 and r.base_sha256 == sha(",".join(f"hex:{17 * k}:{17 * k + 16}" for k in range(3000)))
+    assert secrets.redact(spark.createDataFrame([(1, many, "s")], DOC)).collect()[0].text == " ".join([secrets.REDACTED] * 3000)

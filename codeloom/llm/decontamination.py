@@ -5,12 +5,14 @@ window is long. Every benchmark suffix that starts a window is searched in it by
 once; the places between its lower and upper bound are its verbatim occurrences, and what follows them is
 compared further for the longest match. Documents never meet each other, so nothing is shuffled.
 
-The benchmark is taken in blocks of at most `BLOCK_BYTES` of text (its size is summed first), each sent to
-the executors and searched in one pass over the shards, one after the other, so a benchmark of any size works.
+The benchmark is taken in blocks of at most `BLOCK_BYTES` of text (its size is summed first). A benchmark of one block
+is searched in one pass. Of a larger one each block has a pass of its own, one after the other: the block is sent to the
+executors, what it finds is written, and the block is dropped again, so one block is in memory at a time; the findings,
+for the documents that have any, are then joined to the documents.
 
 Null and empty texts have no words, hits or items, and aren't contaminated. Items without words are never
 found. An item without an id counts as the id "null". Repeated items count once for each id. Repeated
-documents give repeated rows. Only doc_id, text, item_id and text are read, whatever else the tables have.
+documents give repeated rows; an empty table gives none. Only doc_id, text, item_id and text are read, whatever else the tables have.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
+from ._tables import written
 
 #: Fixed values of the contract: words of a window, and the share 1 / SHARE of hit words from which a document is contaminated.
 WINDOW = 13
@@ -39,7 +42,7 @@ _BLANK[0x61:0x7B] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+MATCH = pa.struct([("item", pa.string()), ("start", pa.int32()), ("words", pa.int32())])
 
 
 def _tokens(chunk: A.Chunk) -> tuple[np.ndarray, A.Words]:
@@ -130,63 +133,118 @@ def search(tests: Tests, chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray, np.nda
     return which, place, tests.size[which], length, w
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
+def maximal(tests: Tests, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which occurrences don't go on from one of the window before, one word earlier."""
+    at = place * (len(tests.tokens) + 1) + tests.start[which]
+    by = np.argsort(at)
+    before = np.minimum(np.searchsorted(at[by], at - (len(tests.tokens) + 2)), max(len(at) - 1, 0))
+    found = by[before] if len(at) else before
+    return ~((at[found] == at - (len(tests.tokens) + 2)) & (tests.item[which[found]] == tests.item[which]) & (tests.start[which] > 0))
+
+
+def _sizes(benchmark: DataFrame) -> Iterator[DataFrame]:
     """The benchmark in blocks of bounded size; the size is summed on the cluster first."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // BLOCK_BYTES))
+    # hashing deals unevenly: twice as many blocks as the size asks for
+    blocks = 1 if size <= BLOCK_BYTES else -(-2 * size // BLOCK_BYTES)
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = part.toArrow()
-        yield got["item_id"].to_pylist(), got["text"].combine_chunks()
+        yield items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, keep_columns: bool = False) -> DataFrame:
-    """One row per document with its hit words and items. keep_columns: the input's rows that aren't contaminated instead."""
+def _block(items: DataFrame) -> tuple[list[str], pa.Array]:
+    got = items.toArrow()
+    return got["item_id"].to_pylist(), got["text"].combine_chunks()
+
+
+def _found(tests: Tests, chunk: A.Chunk) -> tuple[list, list, list, np.ndarray]:
+    """Of each text: its hit words, the items found, the maximal matches; and its number of words."""
+    which, place, size, length, w = search(tests, chunk)
+    n = chunk.last - chunk.first
+    hits, items, matches = ([[] for _ in range(n)] for _ in range(3))
+    row, whole = w.row[place], maximal(tests, which, place)
+    for k in np.unique(row):
+        mine = np.flatnonzero(row == k)
+        cover = np.zeros(w.bounds[k + 1] - w.bounds[k] + 1, dtype=np.int64)
+        at = place[mine] - w.bounds[k]
+        np.add.at(cover, at, 1)
+        np.subtract.at(cover, at + size[mine], 1)
+        hits[k] = np.flatnonzero(np.cumsum(cover)[:-1] > 0).astype(np.int32)
+        items[k] = sorted({tests.ids[i] for i in np.unique(tests.item[which[mine]])})
+        own = mine[whole[mine]]
+        matches[k] = sorted({(tests.ids[i], int(p), int(x)) for i, p, x in zip(tests.item[which[own]], place[own] - w.bounds[k], length[own])})
+        matches[k] = [{"item": i, "start": p, "words": x} for i, p, x in matches[k]]
+    return hits, items, matches, np.diff(w.bounds)[:n]
+
+
+FOUND = "hits array<int>, items array<string>, matches array<struct<item string, start int, words int>>"
+
+
+def _columns(tests: Tests, chunk: A.Chunk) -> dict[str, pa.Array]:
+    hits, items, matches, n_words = _found(tests, chunk)
+    return {"hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "matches": pa.array(matches, pa.list_(MATCH)), "n_words": pa.array(n_words, pa.int64())}
+
+
+def _searched(docs: DataFrame, sent, kept: str, only_found: bool = False) -> DataFrame:
+    """docs with what is found in each text. kept: the schema of the columns that stay."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in A.chunks(batch.column("text"), SHARD_BYTES):
+                part = batch.slice(chunk.first, chunk.last - chunk.first)
+                out = {c: part.column(c) for c in part.schema.names if c != "text"} | _columns(sent.value, chunk)
+                full = pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+                yield full.filter(pa.array([len(x) > 0 for x in out["hits"]], pa.bool_())) if only_found else full
+
+    return docs.mapInArrow(rows, f"{kept}, {FOUND}, n_words long")
+
+
+def _gathered(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """row, doc_id, hits, items, matches and n_words of each document."""
     spark = docs.sparkSession
-    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row") if keep_columns else F.lit(0).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    carried = carried.withColumns({"hits": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)"), "longest": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long")})
-
-    for ids, texts in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Tests(ids, texts, window))
-
-        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tests = sent.value
-            for batch in batches:
-                for chunk in A.chunks(batch.column("text"), SHARD_BYTES):
-                    part = batch.slice(chunk.first, chunk.last - chunk.first)
-                    which, place, size, length, w = search(tests, chunk)
-                    n = part.num_rows
-                    hits, items = part.column("hits").to_pylist(), part.column("items").to_pylist()
-                    longest = part.column("longest").to_numpy(zero_copy_only=False).copy()
-                    row = w.row[place]
-                    np.maximum.at(longest, row, length)
-                    for k in np.unique(row):
-                        mine = row == k
-                        cover = np.zeros(w.bounds[k + 1] - w.bounds[k] + 1, dtype=np.int64)
-                        at = place[mine] - w.bounds[k]
-                        np.add.at(cover, at, 1)
-                        np.subtract.at(cover, at + size[mine], 1)
-                        hits[k] = np.union1d(hits[k], np.flatnonzero(np.cumsum(cover)[:-1] > 0)).astype(np.int32)
-                        items[k] = sorted({*items[k], *(tests.ids[i] for i in np.unique(tests.item[which[mine]]))})
-                    columns = {name: part.column(name) for name in part.schema.names}
-                    columns |= {"hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, pa.int64()), "n_words": pa.array(np.diff(w.bounds)[:n], pa.int64())}
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-        carried = carried.mapInArrow(searched, carried.schema)
+    kept = f"row {docs.schema['row'].dataType.simpleString()}, doc_id long"
+    blocks = list(_sizes(benchmark))
+    if len(blocks) == 1:
+        return _searched(docs, spark.sparkContext.broadcast(Tests(*_block(blocks[0]), window)), kept)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    partial = None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(Tests(*_block(block), window))
+        found, _ = written(_searched(keyed, sent, "doc_id long, text_hash long", only_found=True).drop("n_words").distinct(), "found")
+        sent.destroy()
+        partial = found if partial is None else partial.unionByName(found)
+    # a row for each document and block that has hits; repeated documents have one
+    all_ = partial.groupBy("doc_id", "text_hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")])
+    all_ = all_.select("doc_id", "text_hash", *[F.array_sort(F.array_distinct(c)).alias(c) for c in ("hits", "items", "matches")])
+    empty = spark.sparkContext.broadcast(Tests([], pa.array([], pa.string()), window))
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    counted = _searched(named, empty, kept + ", text_hash long").select("row", "doc_id", "text_hash", "n_words")
+    left, right = counted.alias("l"), all_.alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash"))
+    none = lambda c: F.coalesce(F.col(f"r.{c}"), F.array().cast(all_.schema[c].dataType)).alias(c)
+    return left.join(right, same, "left").select("l.row", "l.doc_id", *[none(c) for c in ("hits", "items", "matches")], "l.n_words")
+
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, keep_columns: bool = False) -> DataFrame:
+    """One row per document with its hit words and items, the longest match in words, and the maximal matches (item, first word in the document, words).
+
+    keep_columns: the input's rows that aren't contaminated instead.
+    """
+    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row") if keep_columns else F.lit(0).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _gathered(carried, benchmark, window)
     n_hit = F.size("hits").cast("long")
     contaminated = (n_hit > 0) & (share * n_hit >= F.col("n_words"))
     if keep_columns:
-        return carried.filter(~contaminated).select("row.*")
-    return carried.select(
+        return found.filter(~contaminated).select("row.*")
+    return found.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         contaminated.alias("contaminated"),
-        F.col("longest").alias("longest_match"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long").alias("longest_match"),
+        "matches",
     )
 
 

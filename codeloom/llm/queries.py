@@ -71,8 +71,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_contamination
 
-    # the longest match, which SQL can't say, is left to the operator's other users
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    # the matches themselves are for the operator's other users
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +135,15 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN least USING (doc_id)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, {_benchmark_words('text')} AS ws FROM documents),
 b AS (SELECT item_id, {_benchmark_words('text')} AS ws FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS k, md5(array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ')) AS t FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+win AS (SELECT item_id, i AS j, least(len(ws), 13) AS k, md5(array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ')) AS t FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 dw AS (SELECT doc_id, k, i, md5(array_to_string(ws[i:i + k - 1], ' ')) AS t FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
-found AS (SELECT doc_id, item_id, i, k FROM dw JOIN win USING (k, t)),
+found AS (SELECT doc_id, item_id, i, j, k FROM dw JOIN win USING (k, t)),
+runs AS (SELECT doc_id, count(*) + any_value(k) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM (SELECT DISTINCT * FROM found)) GROUP BY doc_id, item_id, i - j, g),
+longest AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY 1),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY 1)
-SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op10_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -222,6 +222,15 @@ def test_toxicity_without_labels(spark):
     assert [r.predicted for r in toxicity.score_documents(some, model).collect()] == [0, 0]
 
 
+def hits(own, items):
+    out = set()
+    for w in items:
+        n = min(13, len(w))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            out |= {p for i in range(len(own) - n + 1) if own[i : i + n] == w[k : k + n] for p in range(i, i + n)}
+    return out
+
+
 @pytest.mark.parametrize("block", [16 << 20, 300])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
@@ -234,7 +243,16 @@ def test_decontamination(spark, monkeypatch, block):
     got = decontamination.find_contamination(docs(spark, bodies), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id"))
     want = decontamination.brute_force(bodies, items)
     key = lambda r: tuple((v is None, str(v)) for v in r)
-    assert sorted(map(tuple, got.drop("longest_match").collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, got.drop("longest_match", "matches").collect()), key=key) == sorted(want, key=key)
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    known = {("null" if i is None else str(i), tuple(split(t))) for i, t in items}
+    for r in got.filter("doc_id is not null and doc_id <> 100").collect():
+        own = split(dict(bodies)[r.doc_id])
+        assert r.longest_match == max([m.words for m in r.matches], default=0)
+        assert {p for m in r.matches for p in range(m.start, m.start + m.words)} == hits(own, [split(t) for _, t in items])
+        for m in r.matches:
+            run = tuple(own[m.start : m.start + m.words])
+            assert len(run) == m.words and any(m.item == i and any(w[k : k + len(run)] == run for k in range(len(w))) for i, w in known)
     kept = decontamination.find_contamination(docs(spark, bodies), spark.createDataFrame(items, "item_id long, text string"), keep_columns=True)
     assert kept.columns == docs(spark, bodies).columns and kept.count() == sum(not r[-1] for r in want)
 
@@ -254,3 +272,107 @@ def test_pipeline_stages_keep_the_columns(spark):
         assert out.columns == rows.columns and out.dtypes == rows.dtypes
         rows = out
     assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def plain_fit(texts, toxic):
+    """Log-count ratios of the classifier's buckets, text by text."""
+    with_toxic, with_other = Counter(), Counter()
+    for text, y in zip(texts, toxic):
+        chunk = next(A.chunks(pa.array([text])))
+        seen = {int(b) for buckets, row in toxicity._grams(chunk) for b, r in zip(buckets, row) if r >= 0}
+        (with_toxic if y else with_other).update(seen)
+    n, m = sum(toxic), len(toxic) - sum(toxic)
+    return {b: np.log((with_toxic[b] + 0.5) / (n + 1)) - np.log((with_other[b] + 0.5) / (m + 1)) for b in {*with_toxic, *with_other}}
+
+
+def test_toxicity_equals_a_plain_version():
+    rows = toxic_rows()[:160]
+    texts, toxic = [t or "" for _, t, _ in rows], [int(y) for *_, y in rows]
+    model = toxicity.fit(pa.array(texts), np.array(toxic), rounds=4000)
+    ratio = plain_fit(texts, toxic)
+    used = np.flatnonzero(model.feature >= 0)
+    assert len(used) and set(used.tolist()) <= set(ratio)
+    # the optimum of the penalised regression: a weight that isn't 0 has a slope of the penalty's size
+    grams = [{int(b) for buckets, row in toxicity._grams(next(A.chunks(pa.array([t])))) for b, r in zip(buckets, row) if r >= 0} for t in texts]
+    score = np.array([model.bias + sum(model.weights[model.feature[b]] for b in g if model.feature[b] >= 0) for g in grams])
+    assert np.allclose(score, np.concatenate([model.sums(c) for c in A.chunks(pa.array(texts))]))
+    weight = np.where(np.array(toxic) > 0, toxicity.TOXIC_WEIGHT, 1.0)
+    error = (1 / (1 + np.exp(-score)) - toxic) * weight / weight.mean()
+    for b in used.tolist()[:50]:
+        slope = ratio[b] * np.mean([e if b in g else 0.0 for e, g in zip(error, grams)])
+        raw = model.weights[model.feature[b]] / ratio[b]
+        assert abs(slope + 0.0003 * np.sign(raw)) < 0.0002
+
+
+def test_sample_leaves_out_labels_without_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 20)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.update(texts=texts.to_pylist(), toxic=toxic.tolist()))
+    rows = [(i, f"text {i}" if i % 2 else None) for i in range(200)] + [(1, "text 1")]
+    toxicity.train(docs(spark, rows), spark.createDataFrame([(i, i % 4 // 2) for i in range(200)], "doc_id long, toxic int"))
+    assert Counter(seen["toxic"]) == {0: 20, 1: 20} and len(set(seen["texts"])) == 40
+
+
+LONG = [
+    "word " * 200_000,
+    " ".join(f"w{i * i % 9973}" for i in range(150_000)),
+    "あいうえお漢字" * 60_000,
+]
+
+
+def test_very_long_texts(spark):
+    some = docs(spark, list(enumerate(LONG)))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(some).collect()}
+    assert [got[i].longest_repeat for i in (0, 2)] == [199_999, 0] and not got[0].kept and got[1].n_words == 150_000
+    assert [r.class_id for r in near_dedup.near_duplicates(some).orderBy("doc_id").collect()] == [0, 1, 2]
+    model = toxicity.fit(pa.array(["bad words here"] * 9 + ["good words there"] * 9), np.array([1] * 9 + [0] * 9))
+    assert toxicity.score_documents(some, model).count() == 3
+
+
+def test_piece_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_CHARS", 100)
+    table = pieces.PieceTable(queries.tokenizer_path())
+    plain = table.encode(LONG[2][:2000])
+    for k in range(300):
+        pieces.digest(table, f"some{k} other{k} words{k}")
+        assert sum(map(len, table.done)) <= 100 and sum(map(len, table.fine)) <= 100
+    n, *_ = pieces.digest(table, LONG[2])
+    assert n > len(plain) and not any(len(x) > pieces.CACHE_LONGEST for x in [*table.done, *table.fine])
+
+
+def test_empty_tables(spark):
+    none = docs(spark, []).limit(0)
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert pieces.digest_documents(none, queries.tokenizer_path()).count() == 0
+    assert decontamination.find_contamination(none, bench).count() == 0
+    model = toxicity.train(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score_documents(none, model).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "never there " * 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rnd = random.Random(11)
+    text = lambda: " ".join(f"{rnd.choice('abcdef')}{rnd.randrange(10**6)}" for _ in range(80))
+    a, b = text(), text()
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b + " token = abcdefghijkl0123"), (4, None), (None, None), (5, ""), (6, "short"), (None, b), (7, text() + " never there" * 9)]
+    schema = "doc_id long, text string, node string, hits int, row int, spans string, n_words int"
+    got = spark.createDataFrame([(*r, "n", 1, 2, "s", 3) for r in rows], schema)
+    want = [[(1, a), (1, a), (2, a), (None, a), (3, rows[4][1]), (None, b), (7, rows[-1][1])], None, None, None]
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, got, str(tmp_path))
+        assert out.dtypes == got.dtypes
+        found = [(r.doc_id, r.text) for r in out.collect()]
+        if want[k]:
+            assert sorted(found, key=str) == sorted(want[k], key=str)
+        sizes.append(len(found))
+        got = spark.createDataFrame(out.collect(), out.schema)
+    assert sizes == [7, 3, 2, 2]
+    assert {r.text for r in got.collect()} == {a, b + " [SECRET]"}
+    empty = got.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,27 +12,64 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"
 OPERATOR = r"==|!=|<=|>=|->|//|\*\*|&&|\|\||<<|>>|[+\-*/%=<>!&|^~]"
 CASE_CUT = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
-#: Words that have parts: an underscore, or a place to cut.
-_COMPOUND = f"_|{CASE_CUT}"
+#: What stands between words, and between the parts of a word, while a text is cut; neither is ever in a word.
+_NEXT, _CUT = "\x01", "\x02"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What case folding does beyond lower case, by Python's rule: letters that become another one, in order, and those that become several."""
+    one, many = {}, {}
+    for c in map(chr, range(0x20000)):
+        low, folded = c.lower(), c.casefold()
+        if folded != low and len(low) == 1 and low not in one and low not in many:
+            (one if len(folded) == 1 else many)[low] = folded
+    return "".join(one), "".join(one.values()), many
 
 
 def fold(text: Column) -> Column:
-    """Case folding: lower case, with the two letters of European texts that fold further."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Case folding: lower case, and the letters that fold further; the two common ones by plain replacement, others sign by sign."""
+    from_, to, many = _folding()
+    common = {"ß": "ss", "ς": "σ"}
+    rest = sorted(c for c in (*from_, *many) if c not in common)
+    # a class of many letters is slow: texts in Latin letters pass by a short one
+    late = [c for c in rest if c >= "\u0300"]
+    may, has = f"[{''.join(c for c in rest if c < late[0])}{late[0]}-{late[-1]}]", f"[{''.join(rest)}]"
 
+    def further(low: Column) -> Column:
+        wide = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+        signs = F.split(F.translate(low, from_, to), "")
+        return F.when(F.rlike(low, F.lit(may)) & F.rlike(low, F.lit(has)), F.array_join(F.transform(signs, lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")).otherwise(low)
 
-def identifier_parts(word: Column) -> Column:
-    """Folded parts of an identifier, in order, but those equal to the folded word."""
-    pieces = F.flatten(F.transform(F.split(word, "_"), lambda p: F.split(p, CASE_CUT)))
-    return F.filter(F.transform(pieces, fold), lambda p: (p != "") & (p != fold(word)))
+    low = F.lower(text)
+    for c, other in common.items():
+        low = F.replace(low, F.lit(c), F.lit(other))
+    return let(low, further)
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens of a text or query: each word folded, followed by its parts; then the operators."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Index tokens of a text or query: each word folded, followed by its folded parts that differ from it; then the operators.
+
+    Words are joined into one string, which is cut and folded as a whole.
+    """
     none = F.array().cast("array<string>")
-    each = F.transform(words, lambda w: F.concat(F.array(fold(w)), F.when(F.rlike(w, F.lit(_COMPOUND)), identifier_parts(w)).otherwise(none)))
-    return F.concat(F.flatten(each), F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0)))
+
+    def parted(both: Column) -> Column:
+        word = lambda w, p: F.when(w == p, F.array(w)).otherwise(F.concat(F.array(w), F.filter(F.split(p, _CUT), lambda x: (x != "") & (x != w))))
+        whole, parts = F.split(both["whole"], _NEXT), F.split(both["parts"], _NEXT)
+        return F.when(both["whole"] == both["parts"], whole).otherwise(F.flatten(F.zip_with(whole, parts, word)))
+
+    def cut(joined: Column) -> Column:
+        return let(F.regexp_replace(joined, f"_|{CASE_CUT}", _CUT), lambda p: let(F.struct(fold(joined).alias("whole"), F.when(p == joined, fold(joined)).otherwise(fold(p)).alias("parts")), parted))
+
+    joined = F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _NEXT)
+    words = let(joined, lambda j: F.when(j == "", none).otherwise(cut(j)))
+    return F.concat(words, F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0)))
 
 
 def normalise_lf(text: Column) -> Column:
@@ -113,9 +153,11 @@ def symbol_text(language: Column, path: Column, name: Column, kind: Column, disa
     return F.concat_ws(":", language, path, name, kind, disambiguator, F.when(line.isNotNull(), F.concat(F.lit("line:"), line.cast("string"))))
 
 
-def slug(name: Column) -> Column:
-    """Letters, digits, `_` and `-` in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_-]", "-"), "^-+|-+$", ""))
+def slug(name: Column, prefix: str = "") -> Column:
+    """The prefix, then letters, digits, `_` and `-` in lower case, runs of others as one `-`, without `-` and `_` at the ends; names without any become `item-unknown`, missing ones `item`."""
+    some = F.when(F.coalesce(name, F.lit("")) == "", "item").otherwise(name)
+    base = F.lower(F.regexp_replace(F.regexp_replace(some, "[^A-Za-z0-9_-]+", "-"), "^[-_]+|[-_]+$", ""))
+    return F.concat(F.lit(prefix), base) if prefix else F.when(base == "", "item-unknown").otherwise(base)
 
 
 def needs_translation(text: Column, target: str) -> Column:
@@ -186,7 +228,7 @@ def javadoc_text(comment: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def lookup(table: dict[str, dict[str, str]], key: Column, language: Column, fallback: str = "en") -> Column:
+def lookup(table: dict[str, dict[str, str]], key: Column, language: Column, fallback: str = "中文") -> Column:
     """A text of a two-level table; the fallback language, then the key itself, where there is none."""
     flat = [F.lit(x) for k, by in table.items() for lang, said in by.items() for x in (f"{k}\n{lang}", said)]
     texts = F.create_map(*flat)

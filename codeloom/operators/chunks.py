@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import chunk_identity, file_identity, normalise_lf
+from codeloom.operators.rounds import spread
 
 SIZE, STRIDE = 1200, 1000
 
@@ -16,12 +17,12 @@ def file_documents(files: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def chunk_documents(files: DataFrame, path: str, text: str, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
-    """One row per chunk of `size` code points every `stride`, to the end of the text; empty files have none."""
+    """One row per chunk of `size` code points every `stride`, to the end of the text, without the whole text; empty files have none."""
     body = normalise_lf(F.col(text))
-    starts = files.withColumn("_body", body).filter(F.length("_body") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.length("_body").cast("long") - 1, F.lit(stride).cast("long"))).alias("start_offset"))
+    starts = spread(files).withColumn("_body", body).filter(F.length("_body") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.length("_body").cast("long") - 1, F.lit(stride).cast("long"))).alias("start_offset"))
     end = F.least(F.col("start_offset") + size, F.length("_body").cast("long"))
     return starts.withColumn("end_offset", end).select(
-        *files.columns,
+        *[c for c in files.columns if c != text],
         "start_offset",
         "end_offset",
         chunk_identity(F.col(path), F.col("start_offset"), F.col("end_offset")).alias("identity"),

@@ -58,7 +58,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int, query: str = "query_id
     else:
         part = lambda w, rank: F.coalesce(F.lit(w) / (config.rrf_k + rank), F.lit(0.0))
         score = part(config.lexical_weight, F.col("lexical_rank")) + part(config.semantic_weight, F.col("semantic_rank")) + F.coalesce(config.graph_weight * F.col("graph_score") / (config.rrf_k + F.col("hop")), F.lit(0.0))
-    return top_ranked(both.withColumn("score", F.round(score, 9)), query, [F.desc("score"), F.col(key)], k)
+    return top_ranked(both.withColumn("score", score), query, [F.desc("score"), F.col(key)], k)
 
 
 def retrieve(lexical, semantic, k: int, config: HybridConfig = HybridConfig(), query: str = "query_id", key: str = "doc_id") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,30 @@ def unique_lookup(rows: DataFrame, name: str, value: str) -> DataFrame:
     return rows.groupBy(name).agg(F.count("*").alias("_n"), F.first(value).alias(value)).filter("_n = 1").drop("_n")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """importer, target, resolved path or null. imports: importer, target; files: relative_path. Names that several files have stay unresolved."""
+def java_types(files: DataFrame, symbols: DataFrame, packages: DataFrame) -> DataFrame:
+    """target and resolved path for the classes of Java files; a file without classes goes by its own name.
+
+    files: relative_path; symbols: relative_path, qualified_name, kind; packages: relative_path, package (empty for none).
+    """
+    java = files.select("relative_path").filter(F.endswith("relative_path", F.lit(".java")))
+    classes = symbols.filter("kind = 'class'").select("relative_path", F.col("qualified_name").alias("type"))
+    stem = F.regexp_replace(F.element_at(F.split("relative_path", "/"), -1), r"\.java$", "")
+    named = java.join(packages.select("relative_path", "package"), "relative_path").join(classes, "relative_path", "left")
+    return named.select(F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), F.coalesce("type", stem)).alias("target"), F.col("relative_path").alias("resolved"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """importer, target, resolved path or null. imports: importer, target; files: relative_path; types: as java_types gives them. Names that several files have stay unresolved.
+
+    Java files import types by their whole name, all other files Python modules.
+    """
     modules = unique_lookup(files.filter(F.endswith("relative_path", F.lit(".py"))).select(python_module(F.col("relative_path")).alias("target"), F.col("relative_path").alias("resolved")), "target", "resolved")
-    wanted = imports.select("importer", canonical_import(F.col("target"), F.col("importer")).alias("target")).distinct()
-    return wanted.join(modules, "target", "left").select("importer", "target", "resolved")
+    from_java = F.endswith("importer", F.lit(".java"))
+    wanted = imports.select("importer", F.when(from_java, F.col("target")).otherwise(canonical_import(F.col("target"), F.col("importer"))).alias("target"), from_java.alias("java")).distinct()
+    known = modules.withColumn("java", F.lit(False))
+    if types is not None:
+        known = known.unionByName(unique_lookup(types.distinct(), "target", "resolved").withColumn("java", F.lit(True)))
+    return wanted.join(known, ["target", "java"], "left").select("importer", "target", "resolved")
 
 
 def class_parents(symbols: DataFrame) -> DataFrame:
@@ -42,9 +63,9 @@ def class_parents(symbols: DataFrame) -> DataFrame:
     return c.join(p, on).groupBy(F.col("c.id").alias("child")).agg(best.alias("parent"))
 
 
-def build_graph(project: str, files: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (kind, identity, label) and edges (source, target, relation). files: relative_path; symbols as for class_parents; imports as for resolve_imports."""
-    resolved = resolve_imports(imports, files)
+def build_graph(project: str, files: DataFrame, symbols: DataFrame, imports: DataFrame, packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (kind, identity, label) and edges (source, target, relation). files: relative_path; symbols as for class_parents; imports as for resolve_imports; packages (relative_path, package) let Java imports be resolved."""
+    resolved = resolve_imports(imports, files, None if packages is None else java_types(files, symbols, packages))
     target = F.coalesce("resolved", "target")
     nodes = (
         files.sparkSession.createDataFrame([("project", project, project)], "kind string, identity string, label string")
@@ -98,10 +119,12 @@ def expand(edges: DataFrame, seeds: DataFrame, shown: DataFrame, max_hops: int =
     found = seen.filter("hop > 0").join(shown.select("node").distinct(), "node", "left_semi")
     order = ["hop", "node", "relation", "direction"]
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*own, "seed").orderBy(*order))).filter(F.col("_n") <= per_seed)
-    by_group = (lambda *more: Window.partitionBy(*own, *more)) if own else (lambda *more: Window.partitionBy(*(more or (F.lit(0),))))
     # the first seed that reaches a node keeps it; then the cap holds in the order in which seeds add nodes
-    once = found.withColumn("_k", F.row_number().over(by_group("node").orderBy("seed", "_n"))).filter("_k = 1")
-    capped = once.withColumn("_k", F.row_number().over(by_group().orderBy("seed", "_n"))).filter(F.col("_k") <= total)
+    once = found.withColumn("_k", F.row_number().over(Window.partitionBy(*own, "node").orderBy("seed", "_n"))).filter("_k = 1")
+    if own:
+        capped = once.withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy("seed", "_n"))).filter(F.col("_k") <= total)
+    else:  # each task keeps its first ones, then the first of all
+        capped = once.orderBy("seed", "_n").limit(total)
     return capped.select(*own, "seed", "node", "relation", "direction", "hop")
 
 
@@ -127,13 +150,61 @@ def symbol_density(files: DataFrame, symbols: DataFrame, most: int = 50) -> Data
 def import_fan_out(edges: DataFrame, most: int = 10) -> DataFrame:
     """Findings: files that import too many different targets."""
     n = edges.filter("relation = 'imports'").groupBy("source").agg(F.countDistinct("target").alias("n")).filter(F.col("n") > most)
-    return n.select(*finding("dependency.import_fan_out", F.format_string("File imports %d targets, exceeding the limit of %d.", "n", F.lit(most)), F.col("source")))
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
+    return n.select(*finding("dependency.concentration", F.format_string("File imports %d distinct targets, exceeding the limit of %d.", "n", F.lit(most)), F.col("source")))
+
+
+#: A graph of at most so many different edges is solved by one task, in memory that this bounds.
+ONE_TASK = 300_000
+
+
+def _strong_by_depth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components of more than one node, from all edges of a small graph: one depth-first walk with a stack of its own."""
+    following: dict[str, list[str]] = {}
+    for frame in frames:
+        for a, b in zip(frame["source"], frame["target"]):
+            following.setdefault(a, []).append(b)
+            following.setdefault(b, [])
+    number, low, open_, out = {}, {}, [], []
+    held: set[str] = set()
+    for root in following:
+        if root in number:
+            continue
+        walk = [(root, iter(following[root]))]
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        held.add(root)
+        while walk:
+            node, rest = walk[-1]
+            new = next((x for x in rest if x not in number or (x in held and number[x] < low[node])), None)
+            if new is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = open_.index(node, number_at(open_, number, node))
+                    group, open_[at:] = open_[at:], []
+                    held.difference_update(group)
+                    out += [(x, min(group)) for x in group] if len(group) > 1 else []
+            elif new in number:
+                low[node] = number[new]
+            else:
+                number[new] = low[new] = len(number)
+                open_.append(new)
+                held.add(new)
+                walk.append((new, iter(following[new])))
+    yield pd.DataFrame(out, columns=["node", "component"], dtype=object)
+
+
+def number_at(open_: list[str], number: dict[str, int], node: str) -> int:
+    """Where a node stands in a list that its numbers order."""
+    return bisect_left(open_, number[node], key=number.__getitem__)
+
+
+def strong_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, component (its least node) for nodes on a cycle, their own loop included. edges: source, target.
 
-    First, nodes that nothing enters or that nothing leaves are peeled off, round by round; then colours spread: in each
+    A small graph, or what is small enough after some rounds, is walked by one task. Of a larger one,
+    first, nodes that nothing enters or that nothing leaves are peeled off, round by round; then colours spread: in each
     outer round every node takes the largest node that reaches it, and those that reach back to their colour's node
     form its component and leave. Every step is a join and an aggregate by node; rounds are written to the shared folder.
     """
@@ -146,12 +217,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while True:
         while True:  # peel
             before = left.count()
+            if before <= one_task:
+                break
             left = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             left, _ = written(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "edges")
             if left.count() == before:
                 break
         if before == 0:
             break
+        if before <= one_task:
+            found, _ = written(left.repartition(1).mapInPandas(_strong_by_depth, "node string, component string"), "components")
+            alone = found if done is None else found.unionByName(_least_named(done))
+            return alone.unionByName(loops.join(alone.select("node"), "node", "left_anti"))
         nodes = left.select(F.col("source").alias("node")).distinct()
         colour, _ = written(nodes.withColumn("colour", F.col("node")), "colours")
         while True:
@@ -173,18 +250,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         done = members if done is None else done.unionByName(members)
         gone = members.select("node")
-        left = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        left, _ = written(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"), "edges")
     if done is None:
         return loops
-    sized = done.withColumns({"n": F.count("*").over(Window.partitionBy("colour")), "component": F.min("node").over(Window.partitionBy("colour"))}).filter("n > 1").select("node", "component")
+    sized = _least_named(done)
     return sized.unionByName(loops.join(sized.select("node"), "node", "left_anti"))
 
 
+def _least_named(members: DataFrame) -> DataFrame:
+    """node, component: the least node of each colour that more than one node has."""
+    least = members.groupBy("colour").agg(F.count("*").alias("n"), F.min("node").alias("component")).filter("n > 1")
+    return members.join(least, "colour").select("node", "component")
+
+
 def import_cycles(edges: DataFrame) -> DataFrame:
     """Findings: groups of files that import each other in a circle, or a file that imports itself. edges: between files only."""
     groups = strong_components(edges).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("files"))
-    text = F.concat(F.lit("Import cycle includes "), F.size("files").cast("string"), F.lit(" files: "), F.array_join("files", ", "), F.lit("."))
-    return groups.select(*finding("dependency.import_cycle", text, F.col("component")))
+    text = F.concat(F.lit("Import cycle includes "), F.size("files").cast("string"), F.when(F.size("files") == 1, " file: ").otherwise(" files: "), F.array_join("files", ", "), F.lit("."))
+    return groups.select(*finding("dependency.cycle", text, F.col("component")))
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:

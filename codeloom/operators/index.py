@@ -36,7 +36,7 @@ def index_identity(config: IndexConfig, snapshot: DataFrame) -> str:
 
 @dataclass
 class Index:
-    """Tables under a folder: documents (id, content_hash, text), postings (id, term, length, tf), vectors (id, content_hash, vector)."""
+    """Tables under a folder: documents (id, content_hash, text), postings (id, term, length, tf; one for the empty term of each document), statistics, vectors (id, content_hash, vector)."""
 
     spark: SparkSession
     folder: str
@@ -46,13 +46,23 @@ class Index:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
-def _write(documents: DataFrame, vectors: DataFrame | None, folder: str, config: IndexConfig) -> Index:
-    # postings by term, so that a query's terms are found together
+def _write(documents: DataFrame, vectors: DataFrame | None, folder: str, config: IndexConfig, old: Index | None = None) -> Index:
+    """Writes the tables; of an old index the postings and lengths of unchanged documents are taken over, so only new and changed texts are cut into tokens."""
     documents.select("id", "content_hash", "text").write.mode("errorifexists").parquet(f"{folder}/documents")
     made = Index(documents.sparkSession, folder, config)
-    tokenised = lexical.document_tokens(made.table("documents"), "id", "text")
-    lexical.postings(tokenised, "id").repartition("term").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{folder}/postings")
-    lexical.corpus_statistics(tokenised).write.mode("errorifexists").parquet(f"{folder}/statistics")
+    fresh = made.table("documents")
+    kept = None
+    if old is not None:
+        kept = fresh.join(old.table("documents").select("id", "content_hash"), ["id", "content_hash"], "left_semi").select("id")
+        fresh = fresh.join(kept, "id", "left_anti")
+    marked = lexical.document_tokens(fresh, "id", "text").withColumn("terms", F.concat("terms", F.array(F.lit(lexical.LENGTH))))
+    rows = lexical.postings(marked, "id")
+    if kept is not None:
+        rows = rows.unionByName(old.table("postings").join(kept, "id", "left_semi"))
+    # by term, so that a query's terms are found together
+    rows.repartition("term").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{folder}/postings")
+    lengths = made.table("postings").filter(F.col("term") == lexical.LENGTH)
+    lexical.corpus_statistics(lengths).write.mode("errorifexists").parquet(f"{folder}/statistics")
     if vectors is not None:
         vectors.write.mode("errorifexists").parquet(f"{folder}/vectors")
     return made
@@ -64,24 +74,16 @@ def build(documents: DataFrame, folder: str, config: IndexConfig, embed: Callabl
 
 
 def update(old: Index, documents: DataFrame, folder: str, config: IndexConfig, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
-    """An index over new documents in another folder; the old one stays. Only new and changed documents are embedded. Other settings raise."""
+    """An index over new documents in another folder; the old one stays. Only new and changed documents are cut into tokens and embedded. Other settings raise."""
     if config.identity() != old.config.identity():
         raise ValueError("the settings changed: build a new index")
     vectors = snapshots.update_vectors(old.table("vectors"), documents, embed) if embed else None
-    return _write(documents, vectors, folder, config)
+    return _write(documents, vectors, folder, config, old)
 
 
 def search(index: Index, queries: DataFrame, k: int, query: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """BM25 over the stored postings: only the asked terms' postings are read into the joins."""
-    from codeloom.functions.text import tokens
-
-    c = index.config.bm25
-    terms = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    found = index.table("postings").join(terms.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    one = index.table("statistics")
-    idf = F.log1p((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("length") / F.col("average")))
-    weighted = found.join(df, "term").join(F.broadcast(one)).select("id", "term", weight.alias("weight"))
-    scored = terms.join(weighted, "term").groupBy(query, "id").agg(F.round(F.sum("weight"), 9).alias("score")).filter("score > 0")
+    terms = lexical.query_terms(queries, query, query_text)
+    found = index.table("postings").filter(F.col("term") != lexical.LENGTH).join(terms.select("term").distinct(), "term", "left_semi")
+    scored = lexical.weigh(terms, found, index.table("statistics"), query, "id", index.config.bm25)
     return lexical.top_ranked(scored, query, [F.desc("score"), F.col("id")], k)

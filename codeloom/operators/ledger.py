@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.rounds import written
+
 OPERATIONS = ("grant", "charge", "refund", "adjust")
 #: Statuses whose reservation still holds credits.
 HOLDING = ("RESERVED", "FINALIZATION_FAILED")
@@ -173,9 +176,32 @@ def admin_operations(operations: DataFrame) -> DataFrame:
     return operations.withColumn("outcome", F.when(F.row_number().over(first) == 1, "applied").when(same, "replayed").otherwise("conflict"))
 
 
-def append_transactions(path: str, rows: DataFrame) -> None:
-    """Adds transactions with a new id and the time of writing."""
-    rows.withColumns({"transaction_id": F.uuid(), "created_at": F.current_timestamp()}).write.mode("append").parquet(path)
+def append_transactions(path: str, rows: DataFrame) -> DataFrame:
+    """Adds the transactions (account_id, type, amount, request_id, note, sequence) that aren't there yet, with a new id and the time of writing; returns what each became.
+
+    A type, account and request is written once: of several rows the first by sequence, and none if the table has it
+    already. outcome: applied, replayed (the same amount and note) or conflict. Rows without a request are always applied.
+    The outcome of a second writer at the same moment is left to a table format with transactions.
+    """
+    spark = rows.sparkSession
+    key = ["type", "account_id", "request_id"]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    keyed = rows.filter("request_id is not null")
+    # written once, so that ids and outcomes are the same in the table and in the answer
+    first = Window.partitionBy(*key).orderBy("sequence")
+    ranked = keyed.withColumns({"_n": F.row_number().over(first), "_amount": F.first("amount").over(first), "_note": F.first("note").over(first)})
+    if exists:
+        known = spark.read.parquet(path).filter("request_id is not null").select(*key, F.col("amount").alias("_had"), F.col("note").alias("_said"), F.lit(True).alias("_known"))
+        ranked = ranked.join(known, key, "left").withColumns({"_amount": F.when(F.col("_known"), F.col("_had")).otherwise(F.col("_amount")), "_note": F.when(F.col("_known"), F.col("_said")).otherwise(F.col("_note"))})
+    else:
+        ranked = ranked.withColumn("_known", F.lit(None).cast("boolean"))
+    same = F.col("amount").eqNullSafe(F.col("_amount")) & F.col("note").eqNullSafe(F.col("_note"))
+    outcome = F.when(F.col("_known").isNull() & (F.col("_n") == 1), "applied").when(same, "replayed").otherwise("conflict")
+    judged = ranked.withColumn("outcome", outcome).select(*rows.columns, "outcome").unionByName(rows.filter("request_id is null").withColumn("outcome", F.lit("applied")))
+    judged, _ = written(judged.withColumns({"transaction_id": F.uuid(), "created_at": F.current_timestamp()}), "outcomes")
+    judged.filter("outcome = 'applied'").drop("outcome").write.mode("append").parquet(path)
+    return judged
 
 
 class FlatPricing:
@@ -197,6 +223,8 @@ class TokenPricing:
     """Rates per 1000 tokens of a provider's model, up to its limits; the reservation is the price of both limits."""
 
     def __init__(self, provider: str, model: str, rate_in: str, rate_out: str, max_in: int, max_out: int):
+        if max_in < 0 or max_out < 0 or not (Decimal(rate_in) * max_in + Decimal(rate_out) * max_out) > 0:
+            raise ValueError("the limits must give a reservation above 0")
         self.provider, self.model, self.rate_in, self.rate_out, self.max_in, self.max_out = provider, model, rate_in, rate_out, max_in, max_out
 
     def _of(self, a: Column, b: Column) -> Column:

@@ -5,28 +5,39 @@ from __future__ import annotations
 import ast
 import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.parsing import _per_file, braces_balanced
+from codeloom.operators.rounds import spread
 
 MAX_LINE = 100
 SHOWN = 50
 
 
+#: What ends a line, and what counts as blank (all white space of Unicode).
+LINE_END = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SOLID = BLANK.replace("[", "[^", 1)
+WORD = r"\p{L}\p{N}_"
+
+
 def numbered_lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line number, line, and whether this line and the two before it are blank; a line break at the end starts no line."""
-    body = F.regexp_replace(F.col(text), "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
-    lines = F.split(F.regexp_replace(body, "\n$", ""), "\n", -1)
-    each = files.filter(F.coalesce(F.col(text), F.lit("")) != "").select(key, F.posexplode(F.transform(lines, lambda x, i: F.struct(
-        x.alias("line"),
-        (F.trim(x) == "").alias("blank"),
-        ((i >= 2) & (F.rlike(x, F.lit(r"^\s*$"))) & F.rlike(F.get(lines, i - 1), F.lit(r"^\s*$")) & F.rlike(F.get(lines, i - 2), F.lit(r"^\s*$"))).alias("third"),
-        (i == F.size(lines) - 1).alias("last"),
-    ))).alias("n", "x"))
-    return each.select(key, (F.col("n") + 1).alias("line_no"), "x.line", "x.third", "x.last")
+    """key, line number, line, whether this line and the two before it are blank, and whether it is the last; a line break at the end starts no line."""
+    body = F.regexp_replace(F.col(text), LINE_END, "\n")
+    some = spread(files).filter(F.coalesce(F.col(text), F.lit("")) != "")
+    cut = some.select(key, F.split(F.regexp_replace(body, "\n\\z", ""), "\n", -1).alias("_lines"))
+    blank = cut.withColumn("_blank", F.transform("_lines", lambda x: F.rlike(x, F.lit(f"^{BLANK}*$"))))
+    # the two lines before each: the same flags, shifted
+    before = lambda n: F.concat(F.array(*[F.lit(False)] * n), F.col("_blank")).alias(f"_before{n}")
+    shifted = blank.select(key, "_lines", "_blank", before(1), before(2), F.size("_lines").alias("_size"))
+    each = shifted.select(key, "_size", F.posexplode(F.slice(F.arrays_zip("_lines", "_blank", "_before1", "_before2"), F.lit(1), F.col("_size"))).alias("n", "x"))
+    third = F.col("x._blank") & F.col("x._before1") & F.col("x._before2")
+    return each.select(key, (F.col("n") + 1).alias("line_no"), F.col("x._lines").alias("line"), third.alias("third"), (F.col("n") + 1 == F.col("_size")).alias("last"))
 
 
 def _issues(lines: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -42,12 +53,12 @@ def _no_end(files: DataFrame, key: str, text: str, rule: str, lines: DataFrame)
 def lint_python(files: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, rule: long lines, blanks at the end, tabs in the indent, runs of blanks, blank lines in threes, no line break at the end."""
     x = F.col("line")
-    body = F.regexp_replace(x, r"^\s+", "")
+    body = F.regexp_replace(x, f"^{BLANK}+", "")
     rules = {
         "E501": F.length(x) > MAX_LINE,
-        "W291": F.rlike(x, F.lit(r"\S\s+$")),
-        "W191": F.rlike(x, F.lit(r"^\s*\t\s*\S")),
-        "E221": F.rlike(body, F.lit(r"[^:\s]\s{2,}[^#\s]")) & ~F.rlike(body, F.lit('^[#"]')),
+        "W291": F.rlike(x, F.lit(f"{SOLID}{BLANK}+$")),
+        "W191": F.rlike(x, F.lit(f"^{BLANK}*\t{BLANK}*{SOLID}")),
+        "E221": F.rlike(body, F.lit(f"{SOLID.replace('[^', '[^:', 1)}{BLANK}{{2,}}{SOLID.replace('[^', '[^#', 1)}")) & ~F.rlike(body, F.lit('^[#"]')),
         "E303": F.col("third"),
     }
     lines = numbered_lines(files, key, text)
@@ -57,13 +68,13 @@ def lint_python(files: DataFrame, key: str, text: str) -> DataFrame:
 def lint_java(files: DataFrame, key: str, text: str) -> DataFrame:
     """The same for Java: also blanks after commas and before braces."""
     x = F.col("line")
-    body = F.regexp_replace(F.regexp_replace(x, r"^\s+", ""), r"\s+$", "")
+    body = F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
     rules = {
         "GJL001": F.length(x) > MAX_LINE,
-        "GJL002": F.rlike(x, F.lit(r"\S\s+$")),
-        "GJL003": F.rlike(x, F.lit(r"^\s*\t\s*\S")),
-        "GJL004": F.rlike(body, F.lit(r"[;,]\S")) & ~F.startswith(body, F.lit("//")),
-        "GJL005": F.rlike(body, F.lit(r"[)\w]\{")) & ~F.rlike(body, F.lit("^(//|\\*|[\"'])")),
+        "GJL002": F.rlike(x, F.lit(f"{SOLID}{BLANK}+$")),
+        "GJL003": F.rlike(x, F.lit(f"^{BLANK}*\t{BLANK}*{SOLID}")),
+        "GJL004": F.rlike(body, F.lit(f"[;,]{SOLID}")) & ~F.startswith(body, F.lit("//")),
+        "GJL005": F.rlike(body, F.lit(f"[){WORD}]\\{{")) & ~F.rlike(body, F.lit("^(//|\\*|[\"'])")),
         "GJL006": F.col("third"),
     }
     lines = numbered_lines(files, key, text)
@@ -247,20 +258,36 @@ def api_docs(entries: DataFrame) -> DataFrame:
     return whole.select("relative_path", F.concat(F.array_join(F.transform("items", lambda x: x["toc"]), "\n"), F.lit("\n\n"), F.array_join(F.transform("items", lambda x: x["section"]), "\n\n")).alias("document"))
 
 
-def slugs(rows: DataFrame, group: list[str], name: str, order: str) -> DataFrame:
-    """Adds `slug`: the name's own, with -2, -3 and so on for repeats in a group that don't meet a slug taken by another name."""
+def slugs(rows: DataFrame, group: list[str], name: str, order: str, prefix: str = "") -> DataFrame:
+    """Adds `slug`: the name's own, or with the first of -2, -3 and so on that no row before it in its group (in `order`) has.
+
+    Groups are sorted within partitions and stream by; only the slugs of the current group are held.
+    """
     from codeloom.functions.text import slug as plain
 
-    w = Window.partitionBy(*group, "_s").orderBy(order)
-    numbered = rows.withColumn("_s", plain(F.col(name))).withColumn("_n", F.row_number().over(w))
-    taken = rows.select(*group, plain(F.col(name)).alias("_t")).distinct()
-    wanted = numbered.withColumn("slug", F.when(F.col("_n") == 1, F.col("_s")).otherwise(F.concat_ws("-", "_s", F.col("_n").cast("string"))))
-    meets = wanted.filter("_n > 1").join(taken, [*[wanted[g] == taken[g] for g in group], wanted["slug"] == taken["_t"]], "left_semi").select(*group, F.col("slug").alias("_m")).distinct().withColumn("_hit", F.lit(True))
-    cond = F.lit(True)
-    for g in group:
-        cond = cond & (F.col(f"w.{g}") == F.col(f"m.{g}"))
-    joined = wanted.alias("w").join(meets.alias("m"), cond & (F.col("w.slug") == F.col("m._m")) & (F.col("w._n") > 1), "left")
-    return joined.select(*[F.col(f"w.{c}") for c in rows.columns], F.when(F.col("m._hit"), F.concat(F.col("w.slug"), F.lit("-x"), F.col("w._n").cast("string"))).otherwise(F.col("w.slug")).alias("slug"))
+    based = rows.withColumn("slug", plain(F.col(name), prefix))
+    names = based.columns
+    at = [names.index(g) for g in group]
+
+    def numbered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, following = None, set(), {}
+        for batch in frames:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in at))) if at else [()] * batch.num_rows
+            out = []
+            for key, base in zip(keys, batch.column("slug").to_pylist()):
+                if key != current:
+                    current, used, following = key, set(), {}
+                got = base
+                if got in used:
+                    n = following.get(base, 2)
+                    while f"{base}-{n}" in used:
+                        n += 1
+                    got, following[base] = f"{base}-{n}", n + 1
+                used.add(got)
+                out.append(got)
+            yield batch.set_column(names.index("slug"), "slug", pa.array(out, pa.string()))
+
+    return based.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(numbered, based.schema)
 
 
 def refresh_entries(entries: DataFrame, symbols: DataFrame) -> DataFrame:

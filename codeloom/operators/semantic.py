@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.numeric import dot, norm, unit
 from codeloom.operators.lexical import top_ranked
+from codeloom.operators.rounds import written
 
 #: A query set up to this many vectors is sent to all tasks; a larger one is searched in blocks of so many.
 QUERY_BLOCK = 2000
@@ -40,23 +41,37 @@ def null_as_empty(c: Column, empty) -> list[Column]:
     return [F.coalesce(c, F.lit(empty))]
 
 
-def cosine_scores(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str) -> DataFrame:
-    """query, key, score of all pairs; negative scores stay. The query set meets the corpus block by block."""
-    rows = corpus.select(key, unit(F.col(vector)).alias("_v"))
+def _blocks(queries: DataFrame, query: str, query_vector: str) -> list[DataFrame]:
     asked = queries.select(query, unit(F.col(query_vector)).alias("_q"))
     n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    # hashing deals unevenly: twice as many blocks as the number asks for
+    blocks = 1 if n <= QUERY_BLOCK else -(-2 * n // QUERY_BLOCK)
+    return [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _block_scores(corpus: DataFrame, block: DataFrame, key: str, vector: str, query: str) -> DataFrame:
+    return corpus.select(key, unit(F.col(vector)).alias("_v")).crossJoin(F.broadcast(block)).select(query, key, dot(F.col("_v"), F.col("_q")).alias("score"))
+
+
+def cosine_scores(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str) -> DataFrame:
+    """query, key, score of all pairs; negative scores stay. The query set meets the corpus block by block."""
     out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        some = rows.crossJoin(F.broadcast(part)).select(query, key, F.round(dot(F.col("_v"), F.col("_q")), 9).alias("score"))
+    for block in _blocks(queries, query, query_vector):
+        some = _block_scores(corpus, block, key, vector, query)
         out = some if out is None else out.unionByName(some)
     return out
 
 
 def semantic_search(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", ties: list[Column] | None = None) -> DataFrame:
-    """query, key, score, rank: the k most similar, ties by key or by the columns given."""
-    return top_ranked(cosine_scores(corpus, queries, key, vector, query, query_vector), query, [F.desc("score"), *(ties or [F.col(key)])], k)
+    """query, key, score, rank: the k most similar, ties by key or by the columns given. Of several blocks each is searched in a job of its own, so one is in memory at a time; tasks keep k rows of a query before they shuffle."""
+    blocks = _blocks(queries, query, query_vector)
+    out = None
+    for block in blocks:
+        best = top_ranked(_block_scores(corpus, block, key, vector, query), query, [F.desc("score"), *(ties or [F.col(key)])], k)
+        if len(blocks) > 1:
+            best, _ = written(best, "nearest")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def normalised(corpus: DataFrame, vector: str) -> DataFrame:

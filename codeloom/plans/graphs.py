@@ -105,6 +105,19 @@ def import_resolution(spark, d):
     return graph.resolve_imports(imports, files)
 
 
+def java_imports(spark, d):
+    """Imports between Java files: parts are classes in packages by brand, some inside another class, some names twice, every eleventh file without a class."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("replace(p_brand, 'Brand#', 'b')").alias("b"))
+    path = F.expr("concat('src/', b, '/T', k, '.java')")
+    files = parts.select(path.alias("relative_path"))
+    packages = parts.select(path.alias("relative_path"), F.expr("case when k % 13 = 0 then '' else concat('org.', b) end").alias("package"))
+    name = F.expr("case when k % 5 = 0 then concat('T', k, '.Inner') when k % 7 = 0 then 'Same' else concat('T', k) end")
+    symbols = parts.filter("k % 11 <> 0").select(path.alias("relative_path"), name.alias("qualified_name"), F.lit("class").alias("kind"))
+    wanted = F.expr("array(concat('org.', b, '.T', k), concat('org.', b, '.T', k, '.Inner'), concat('T', k), concat('org.', b, '.Same'), concat('org.', b, '.*'))")
+    imports = parts.select(F.expr("concat('src/x/U', k % 50, '.java')").alias("importer"), F.explode(wanted).alias("target"))
+    return graph.resolve_imports(imports, files, graph.java_types(files, symbols, packages))
+
+
 def _symbols(spark, d):
     nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
     classes = nation.select(F.expr("concat('N', n_nationkey)").alias("id"), F.expr("concat('r', n_regionkey)").alias("relative_path"), F.expr("concat('N', n_nationkey)").alias("qualified_name"), F.lit("class").alias("kind"), F.expr("n_nationkey * 100").alias("start_line"), F.expr("n_nationkey * 100 + 79").alias("end_line"))
@@ -137,21 +150,13 @@ def analysis_findings(spark, d):
     return graph.sort_findings(_findings(spark, d)).withColumn("line", F.col("line").cast("long"))
 
 
-CYCLE_EDGES = "o_totalprice > 460000"
-
-
-def _import_cycles(orders):
-    edges = orders.select(F.expr("concat('f', o_custkey % 40)").alias("source"), F.expr("concat('f', o_orderkey % 47 % 40)").alias("target"))
-    return graph.import_cycles(edges).withColumn("line", F.col("line").cast("long"))
+#: Customers are files in groups of 40; an order imports one a little further on, one in 29 any of the group.
+STEP = "o_custkey div 40 * 40 + case when o_orderkey % 29 = 0 then o_orderkey % 40 else least(39, o_custkey % 40 + 1 + o_orderkey % 3) end"
 
 
 def import_cycles(spark, d):
-    return _import_cycles(table(spark, d, "orders").filter("o_orderkey % 30 = 1"))
-
-
-def import_cycles_all(spark, d):
-    """import_cycles of every order."""
-    return _import_cycles(table(spark, d, "orders"))
+    edges = table(spark, d, "orders").select(F.expr("concat('f', o_custkey)").alias("source"), F.expr(f"concat('f', {STEP})").alias("target"))
+    return graph.import_cycles(edges).withColumn("line", F.col("line").cast("long"))
 
 
 def document_validation(spark, d):
@@ -176,7 +181,7 @@ def first_seen_links(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, index_plan, set_changes, incremental_update, snapshot_metadata, snapshot_identity, framed_identity, graph_counts, graph_expansion, import_resolution,
-    class_containment, analysis_findings, import_cycles, import_cycles_all, document_validation, duplicate_keys, first_seen_links,
+    class_containment, analysis_findings, import_cycles, java_imports, document_validation, duplicate_keys, first_seen_links,
 )}
 
 _OLD = "old AS (SELECT doc_id, 'd' || doc_id AS relative_path, lang AS language, md5(text) AS content_hash FROM documents WHERE doc_id % 5 <> 0)"
@@ -217,20 +222,21 @@ SELECT seed, node, relation, direction, hop::BIGINT AS hop FROM once QUALIFY row
   UNION ALL SELECT 'src' || doc_id % 20 || '.d' || doc_id, 'src' || doc_id % 20 || '/d' || doc_id || '/__init__.py' FROM documents WHERE doc_id % 9 = 0) GROUP BY 1 HAVING count(*) = 1),
 imp AS (SELECT 'src' || doc_id % 20 || '/d' || doc_id || '.py' AS importer, unnest(['src' || (doc_id + 1) % 20 || '.d' || (doc_id + 1), 'src' || doc_id % 20 || '.d' || (doc_id + 20), 'unresolved-relative:src' || doc_id % 20 || ':2:src3.d3', 'os.path']) AS target FROM documents)
 SELECT DISTINCT importer, target, path AS resolved FROM imp LEFT JOIN mods ON name = target""",
+    "java_imports": """WITH p AS (SELECT p_partkey AS k, replace(p_brand, 'Brand#', 'b') AS b FROM part),
+t AS (SELECT DISTINCT CASE WHEN k % 13 = 0 THEN '' ELSE 'org.' || b || '.' END || CASE WHEN k % 11 = 0 THEN 'T' || k WHEN k % 5 = 0 THEN 'T' || k || '.Inner' WHEN k % 7 = 0 THEN 'Same' ELSE 'T' || k END AS target, 'src/' || b || '/T' || k || '.java' AS path FROM p),
+u AS (SELECT target, min(path) AS resolved FROM t GROUP BY 1 HAVING count(*) = 1),
+i AS (SELECT DISTINCT 'src/x/U' || k % 50 || '.java' AS importer, unnest(['org.' || b || '.T' || k, 'org.' || b || '.T' || k || '.Inner', 'T' || k, 'org.' || b || '.Same', 'org.' || b || '.*']) AS target FROM p)
+SELECT importer, target, resolved FROM i LEFT JOIN u USING (target)""",
     "class_containment": f"WITH {_SYM} SELECT child, parent FROM par",
     "analysis_findings": f"""WITH {_SYM}, {_GRAPH}
 SELECT 'complexity.class_method_count' AS rule_id, 'Class ''' || cls.id || ''' defines ' || count(*) || ' direct methods, exceeding the limit of 4.' AS message, 'warning' AS severity, cls.relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM par JOIN cls ON parent = cls.id GROUP BY cls.id, cls.relative_path HAVING count(*) > 4
 UNION ALL SELECT 'structure.symbol_density', 'File defines ' || count(*) || ' symbols, exceeding the limit of 30.', 'warning', relative_path, 0, NULL FROM (SELECT relative_path FROM cls UNION ALL SELECT relative_path FROM met) GROUP BY relative_path HAVING count(*) > 30
-UNION ALL SELECT 'dependency.import_fan_out', 'File imports ' || count(DISTINCT target) || ' targets, exceeding the limit of 5.', 'warning', source, 0, NULL FROM edges WHERE relation = 'imports' GROUP BY source HAVING count(DISTINCT target) > 5
+UNION ALL SELECT 'dependency.concentration', 'File imports ' || count(DISTINCT target) || ' distinct targets, exceeding the limit of 5.', 'warning', source, 0, NULL FROM edges WHERE relation = 'imports' GROUP BY source HAVING count(DISTINCT target) > 5
 UNION ALL SELECT 'analysis.tool_failure', 'Analysis tool ''broken'' failed: RuntimeError.', 'error', '', 0, NULL""",
-    "import_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT 'f' || o_custkey % 40 AS a, 'f' || o_orderkey % 47 % 40 AS b FROM orders WHERE o_orderkey % 30 = 1),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
-SELECT 'dependency.import_cycle' AS rule_id, 'Import cycle includes ' || count(*) || ' files: ' || string_agg(node, ', ' ORDER BY node) || '.' AS message, 'warning' AS severity, component AS relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM c GROUP BY component""",
-    "import_cycles_all": """WITH RECURSIVE e AS (SELECT DISTINCT 'f' || o_custkey % 40 AS a, 'f' || o_orderkey % 47 % 40 AS b FROM orders),
+    "import_cycles": f"""WITH RECURSIVE e AS (SELECT DISTINCT 'f' || o_custkey AS a, 'f' || ({STEP.replace('div', '//')}) AS b FROM orders),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
-SELECT 'dependency.import_cycle' AS rule_id, 'Import cycle includes ' || count(*) || ' files: ' || string_agg(node, ', ' ORDER BY node) || '.' AS message, 'warning' AS severity, component AS relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM c GROUP BY component""",
+SELECT 'dependency.cycle' AS rule_id, 'Import cycle includes ' || count(*) || CASE WHEN count(*) = 1 THEN ' file: ' ELSE ' files: ' END || string_agg(node, ', ' ORDER BY node) || '.' AS message, 'warning' AS severity, component AS relative_path, 0::BIGINT AS line, NULL::VARCHAR AS symbol_id FROM c GROUP BY component""",
     "document_validation": f"WITH {_DIFF.replace('FROM old o FULL JOIN new n', 'FROM old o FULL JOIN (SELECT * FROM new WHERE doc_id % 5 <> 0) n').replace('o.language IS NOT DISTINCT FROM n.language AND ', '')} SELECT * FROM df WHERE action <> 'unchanged'",
     "duplicate_keys": f"WITH {_LINKS} SELECT page_id, target, count(*) AS n FROM links GROUP BY 1, 2 HAVING count(*) > 1",
     "first_seen_links": f"WITH {_LINKS} SELECT page_id, target, min(pos) AS pos FROM links GROUP BY 1, 2",

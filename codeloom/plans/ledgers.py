@@ -75,22 +75,14 @@ def token_pricing(spark, d):
     return _usage(spark, d).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), p.cast("long").alias("credits"))
 
 
-def _exact_pricing(usage):
+def exact_pricing(spark, d):
+    """Prices beyond 38 digits; compared with short ones by scaling both."""
+    usage = _usage(spark, d)
     price = numeric.exact_price_udf()
     big = lambda c: F.concat(F.col(c).cast("string"), F.lit("0" * 40))
     return usage.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), price(big("tokens_in"), big("tokens_out"), F.lit("1"), F.lit("2")).alias("credits"))
 
 
-def exact_pricing(spark, d):
-    """Prices beyond 38 digits; compared with short ones by scaling both."""
-    return _exact_pricing(_usage(spark, d).filter("l_orderkey % 10 = 1"))
-
-
-def exact_pricing_all(spark, d):
-    """exact_pricing of every line."""
-    return _exact_pricing(_usage(spark, d))
-
-
 def decimal_text(spark, d):
     return table(spark, d, "lineitem").select(numeric.canonical_decimal(F.col("l_discount").cast("decimal(10,4)").cast("string")).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
 
@@ -131,12 +123,12 @@ def review_delay(spark, d):
 
 def latency_percentiles(spark, d):
     """Nearest-rank percentiles of event values by type."""
-    g = table(spark, d, "events").groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return g.select("event_type", *[numeric.nearest_rank(F.col("v"), s).alias(f"p{int(s * 100)}") for s in (0.5, 0.95, 0.99)])
+    share = lambda s: F.expr(f"percentile_disc({s}) within group (order by value)").alias(f"p{int(s * 100)}")
+    return table(spark, d, "events").groupBy("event_type").agg(*[share(s) for s in (0.5, 0.95, 0.99)])
 
 
 QUERIES = {f.__name__: f for f in (
-    account_balances, available_credits, account_history, first_writes, idempotent_lookup, transaction_errors, ledger_fold, managed_requests, token_pricing, exact_pricing, exact_pricing_all,
+    account_balances, available_credits, account_history, first_writes, idempotent_lookup, transaction_errors, ledger_fold, managed_requests, token_pricing, exact_pricing,
     decimal_text, cost_estimate, request_migration, usage_backfill, request_replay, admin_outcomes, review_delay, latency_percentiles,
 )}
 
@@ -154,8 +146,7 @@ ORACLE = {
     "idempotent_lookup": f"WITH {_TX}, {_FIRST} SELECT type, account_id, request_id, transaction_id, amount, sequence FROM fw",
     "transaction_errors": f"WITH {_TX}, t AS (SELECT sequence, type, request_id, CASE WHEN sequence % 17 = 0 THEN 0 WHEN sequence % 19 = 0 THEN -amount ELSE amount END AS amount FROM tx) SELECT sequence, CASE WHEN amount = 0 THEN 'AMOUNT' WHEN (type IN ('grant', 'refund') AND amount < 0) OR (type = 'usage' AND amount > 0) THEN 'SIGN' WHEN type IN ('usage', 'refund') AND request_id IS NULL THEN 'REQUEST' END AS error FROM t",
     "token_pricing": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ceil((l_quantity::BIGINT * 2.01 + (l_partkey % 1000) * 0.125) / 1000)::BIGINT AS credits FROM lineitem",
-    "exact_pricing": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity::BIGINT + 2 * (l_partkey % 1000)) || repeat('0', 37) AS credits FROM lineitem WHERE l_orderkey % 10 = 1",
-    "exact_pricing_all": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity::BIGINT + 2 * (l_partkey % 1000)) || repeat('0', 37) AS credits FROM lineitem",
+    "exact_pricing": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity::BIGINT + 2 * (l_partkey % 1000)) || repeat('0', 37) AS credits FROM lineitem",
     "decimal_text": "SELECT CASE WHEN l_discount::DECIMAL(10,4) = 0 THEN '0' ELSE rtrim(rtrim(l_discount::DECIMAL(10,4)::VARCHAR, '0'), '.') END AS text, count(*) AS n FROM lineitem GROUP BY 1",
     "cost_estimate": "SELECT source, n * 350 AS tokens, floor(n * 350 * 0.43::DOUBLE)::BIGINT AS tokens_in, floor(n * 350 * 0.57::DOUBLE)::BIGINT AS tokens_out, round((floor(n * 350 * 0.43::DOUBLE) * 0.27::DOUBLE + floor(n * 350 * 0.57::DOUBLE) * 1.1::DOUBLE) / 1e6, 4) AS cost FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)",
     "request_migration": f"WITH {_RQ} SELECT request_id, 'flat:v1:' || reserved_credits AS pricing_policy_id, CASE WHEN status = 'SUCCEEDED' THEN reserved_credits END AS actual_credits FROM rq",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import numeric
 from codeloom.functions.text import tokens
 from codeloom.operators import chunks, context, evaluation, fusion, lexical, semantic
+from codeloom.operators.rounds import spread
 
 from ._common import sql_tokens, table
 
@@ -46,6 +47,18 @@ def bm25_ranking(spark, d):
     return lexical.bm25_search(docs(spark, d), asked(spark, d), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def index_search(spark, d):
+    """bm25_ranking over a stored index, built from four fifths of the documents and brought up to date with all."""
+    from codeloom.operators import index
+    from codeloom.operators.rounds import folder_of
+
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"), "text")
+    config, folder = index.IndexConfig(), folder_of(spark, "index")
+    old = index.build(rows.filter("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))).withColumn("content_hash", F.md5("text")), f"{folder}/old", config)
+    new = index.update(old, rows, f"{folder}/new", config)
+    return index.search(new, asked(spark, d), K).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _files(spark, d):
     return docs(spark, d).withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
 
@@ -66,29 +79,18 @@ def chunk_bm25_ranking(spark, d):
 
 
 def _vectors(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.filter("vec_id >= 20"), e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-
-
-def _all_vectors(spark, d):
     """Every vector as corpus; each twentieth asks, so the query set grows with the table."""
     e = table(spark, d, "embeddings")
     return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def _semantic_ranking(corpus, queries):
-    return semantic.semantic_search(corpus, queries, K).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
 def semantic_ranking(spark, d):
-    return _semantic_ranking(*_vectors(spark, d))
-
-
-def semantic_ranking_all(spark, d):
-    return _semantic_ranking(*_all_vectors(spark, d))
+    return semantic.semantic_search(*_vectors(spark, d), K).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _null_ties(corpus, queries):
+def semantic_null_ties(spark, d):
+    """Ranks where the tie key is null for some rows: null last, and null as empty."""
+    corpus, queries = _vectors(spark, d)
     corpus = corpus.select("vec_id", F.expr("case when label % 3 = 0 then null else label end").alias("tie"), "embedding")
     s = semantic.cosine_scores(corpus, queries, "vec_id", "embedding", "query_id", "query_vector").withColumn("score", F.round("score", 1))
     s = s.join(corpus.select("vec_id", "tie"), "vec_id")
@@ -97,17 +99,6 @@ def _null_ties(corpus, queries):
     return last.unionByName(empty)
 
 
-def semantic_null_ties(spark, d):
-    """Ranks where the tie key is null for some rows: null last, and null as empty."""
-    corpus, queries = _vectors(spark, d)
-    return _null_ties(corpus, queries.filter("query_id < 3"))
-
-
-def semantic_null_ties_all(spark, d):
-    """semantic_null_ties of every query and vector."""
-    return _null_ties(*_all_vectors(spark, d))
-
-
 def unit_vectors(spark, d):
     n = semantic.normalised(table(spark, d, "embeddings"), "embedding")
     return n.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round("length", 6).alias("length"), numeric.vector_error(F.col("embedding"), 64).alias("error"))
@@ -204,8 +195,10 @@ def _relevance(spark, d):
     q, t = asked(spark, d), docs(spark, d)
     # a document holds an item if it holds its first words after white space, looked up among the items' first words, and then all of it
     q = q.withColumn("head", F.substring(F.regexp_replace("query_text", r"^\s+", ""), 1, 24))
-    n = t.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\S.{23}))"), F.lit(1)))).alias("head"))
-    held = n.join(q.filter(F.length("head") == 24), "head").filter(F.contains("text", "query_text"))
+    # texts stay behind: heads are met by ids alone, then the few texts that may hold an item are compared
+    n = spread(t).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\S.{23}))"), F.lit(1)))).alias("head"))
+    near = n.join(q.filter(F.length("head") == 24).select("query_id", "head"), "head").select("query_id", "doc_id")
+    held = near.join(t.select("doc_id", "text"), "doc_id").join(q.select("query_id", "query_text"), "query_id").filter(F.contains("text", "query_text"))
     # items without so many characters have no such head and are looked for in every text
     short = t.join(F.broadcast(q.filter(F.length("head") < 24)), F.contains("text", "query_text"))
     return held.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct().withColumn("grade", F.lit(2))
@@ -232,7 +225,7 @@ def metric_strata(spark, d):
 
 def evidence_grades(spark, d):
     """Grades of file, chunk and symbol candidates; documents' lines are the symbols, their third line the evidence."""
-    f = _files(spark, d).filter("lang = 'en'")
+    f = _files(spark, d)
     lines = chunks.line_symbols(f, "path", "text")
     symbols = lines.select(F.lit("symbol").alias("unit"), "identity", F.col("path").alias("relative_path"), F.col("identity").alias("symbol_id"), "start_offset", "end_offset")
     none = F.lit(None).cast("long")
@@ -244,7 +237,7 @@ def evidence_grades(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    token_counts, term_frequencies, corpus_statistics, bm25_ranking, file_documents, chunk_documents, chunk_bm25_ranking, semantic_ranking, semantic_null_ties, semantic_ranking_all, semantic_null_ties_all,
+    token_counts, term_frequencies, corpus_statistics, bm25_ranking, file_documents, chunk_documents, chunk_bm25_ranking, semantic_ranking, semantic_null_ties, index_search,
     unit_vectors, fake_vectors, weighted_fusion, rrf_fusion, graph_fusion, degraded_retrieval, candidate_union, context_packing, context_packages, context_diagnostics,
     context_plan, relevance, query_metrics, metric_strata, evidence_grades,
 )}
@@ -259,7 +252,7 @@ dl AS (SELECT {key}, count(*) AS dl FROM {tok} GROUP BY 1),
 tf AS (SELECT {key}, token, count(*) AS tf FROM {tok} WHERE token IN (SELECT token FROM qtok) GROUP BY 1, 2),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
 scored AS (
-  SELECT query_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
+  SELECT query_id, {key}, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) ORDER BY token)) AS score
   FROM qtok JOIN tf USING (token) JOIN df USING (token) JOIN dl USING ({key}), stat GROUP BY 1, 2),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM scored WHERE score > 0) WHERE rank <= {k})"""
 
@@ -273,7 +266,7 @@ def _vec(n, text, seed=""):
 _SEM = f"""
 dv AS (SELECT doc_id, {_vec(16, 'text')} AS v FROM documents),
 qv AS (SELECT item_id AS query_id, {_vec(16, 'text')} AS q FROM benchmark),
-cos AS (SELECT query_id, doc_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)), 9) AS score FROM dv, qv),
+cos AS (SELECT query_id, doc_id, list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)) AS score FROM dv, qv),
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cos) WHERE rank <= 50)"""
 
 _FUSED = """
@@ -284,7 +277,7 @@ pair AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.doc_id,
 
 def _fused_sql(score, before="", extra=""):
     return f"""WITH {_TOKENS}, {_bm25(k=50)}, {_SEM}, {_FUSED}{before},
-done AS (SELECT *, round({score}, 9) AS score FROM pair)
+done AS (SELECT *, {score} AS score FROM pair)
 SELECT query_id, doc_id, round(score, 6) AS score{extra}, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM done) WHERE rank <= {K}"""
 
 
@@ -304,18 +297,19 @@ ideal AS (SELECT query_id, max(n) AS n, sum(CASE WHEN r <= 5 THEN 3 / log2(r + 1
 got AS (SELECT query_id, count(*) FILTER (grade > 0 AND rank <= 1) AS i1, count(*) FILTER (grade > 0 AND rank <= 5) AS i5, count(*) FILTER (grade > 0) AS i10, min(rank) FILTER (grade > 0) AS f, sum(CASE WHEN rank <= 5 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM hit GROUP BY 1),
 met AS (SELECT query_id, round(coalesce(i1 / n::DOUBLE, 0), 9) AS recall_1, round(coalesce(i5 / n::DOUBLE, 0), 9) AS recall_5, round(coalesce(i10 / n::DOUBLE, 0), 9) AS recall_10, round(coalesce(1.0::DOUBLE / f, 0), 9) AS mrr, round(coalesce(dcg / best, 0), 9) AS ndcg_5, round(coalesce(i5 / 5.0::DOUBLE, 0), 9) AS precision_5, (CASE WHEN coalesce(i5, 0) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_5 FROM qs JOIN ideal USING (query_id) LEFT JOIN got USING (query_id))"""
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in evaluation.METRICS)
-_VECQ = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(v.e, q.e) / sqrt(list_dot_product(v.e, v.e)) / sqrt(list_dot_product(q.e, q.e)), 9) AS score FROM v, v q WHERE v.vec_id >= 20 AND q.vec_id < 20)"
+_VECQ = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_dot_product(v.e, q.e) / sqrt(list_dot_product(v.e, v.e)) / sqrt(list_dot_product(q.e, q.e)) AS score FROM v, v q WHERE q.vec_id % 20 = 0)"
 
 ORACLE = {
     "token_counts": f"WITH {_TOKENS} SELECT doc_id, count(token) AS n_tokens, count(DISTINCT token) AS n_terms FROM documents LEFT JOIN tok USING (doc_id) GROUP BY 1",
     "term_frequencies": f"WITH {_TOKENS} SELECT token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY 1",
     "corpus_statistics": f"WITH {_TOKENS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS tokens, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) AS average FROM tok",
     "bm25_ranking": f"WITH {_TOKENS}, {_bm25()} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex",
+    "index_search": f"WITH {_TOKENS}, {_bm25()} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex",
     "file_documents": f"WITH {_FILES} SELECT 'file:' || path AS identity, length(path) + 1 + length(body) AS n_chars, sha256(path || chr(10) || body) AS sha FROM files",
     "chunk_documents": f"WITH {_FILES}, {_CHUNKS} SELECT identity, start_offset, end_offset, sha256(document) AS sha FROM chunk",
     "chunk_bm25_ranking": f"WITH {_FILES}, {_CHUNKS}, {_TOKENS.replace('FROM documents', 'FROM chunk').replace('doc_id', 'identity').replace('(text,', '(document,').replace('benchmark', 'benchmark')}, {_bm25(key='identity', source='chunk')} SELECT query_id, identity, round(score, 6) AS score, rank FROM lex".replace("(SELECT item_id AS query_id, document AS query_text", "(SELECT item_id AS query_id, text AS query_text"),
     "semantic_ranking": f"WITH {_VECQ} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= {K}",
-    "semantic_null_ties": f"""WITH {_VECQ}, t AS (SELECT query_id, vec_id, round(score, 1) AS score, CASE WHEN label % 3 = 0 THEN NULL ELSE label END AS tie FROM c WHERE query_id < 3)
+    "semantic_null_ties": f"""WITH {_VECQ}, t AS (SELECT query_id, vec_id, round(score, 1) AS score, CASE WHEN label % 3 = 0 THEN NULL ELSE label END AS tie FROM c)
 SELECT query_id, vec_id, 'null_last' AS ties, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie NULLS LAST, vec_id) AS rank FROM t) WHERE rank <= 30
 UNION ALL SELECT query_id, vec_id, 'null_as_empty', rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(tie, -1), vec_id) AS rank FROM t) WHERE rank <= 30""",
     "unit_vectors": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / l)), 6) AS total, 1.0::DOUBLE AS length, NULL::VARCHAR AS error FROM n",
@@ -325,7 +319,7 @@ UNION ALL SELECT query_id, vec_id, 'null_as_empty', rank FROM (SELECT *, row_num
     "graph_fusion": _fused_sql(_WEIGHTED + " + 0.25 * coalesce(gs, 0)", """,
 top AS (SELECT query_id, doc_id AS seed, source FROM lex JOIN documents USING (doc_id) WHERE rank = 1),
 gr AS (SELECT query_id, d.doc_id, max(CASE WHEN d.doc_id % 2 = 0 THEN 1.0 ELSE 0.75 END * CASE WHEN d.doc_id % 3 = 0 THEN 1.0 ELSE 0.8 END)::DOUBLE AS gs FROM top JOIN documents d USING (source) WHERE d.doc_id <> seed GROUP BY 1, 2)""", ", round(coalesce(gs, 0), 6)::DOUBLE AS graph_score").replace("FROM pair)", "FROM pair LEFT JOIN gr USING (query_id, doc_id))"),
-    "degraded_retrieval": f"WITH {_TOKENS}, {_bm25()} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, true AS degraded, 'RuntimeError' AS degradation_reason FROM lex",
+    "degraded_retrieval": f"WITH {_TOKENS}, {_bm25()} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, true AS degraded, 'RuntimeError' AS degradation_reason FROM lex",
     "candidate_union": f"WITH {_TOKENS}, {_bm25(k=50)}, {_SEM} SELECT query_id, doc_id FROM lex UNION SELECT query_id, doc_id FROM sem",
     "context_packing": f"WITH {_TOKENS}, {_bm25()}, {_PLANNED} SELECT query_id, position, doc_id, off AS \"offset\", truncated, sha256(snippet) AS sha FROM packed",
     "context_packages": f"WITH {_TOKENS}, {_bm25()}, {_PLANNED} SELECT query_id, sha256(t) AS sha, length(t) AS budget_used, n AS n_snippets, cut AS truncated FROM pkg",
@@ -342,10 +336,10 @@ SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT CASE WHEN grouping(parity) = 0 THEN 'parity' WHEN grouping(third) = 0 THEN 'third' ELSE 'overall' END AS stratum, count(*) AS queries, {_MEANS}, floor(quantile_cont(latency, 0.5))::BIGINT AS latency_median, quantile_disc(latency, 0.95)::BIGINT AS latency_p95, coalesce(parity, third)::VARCHAR AS value
 FROM m GROUP BY GROUPING SETS ((parity), (third), ())""",
     "evidence_grades": f"""WITH {_FILES}, {_CHUNKS},
-ln AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM files WHERE lang = 'en'),
+ln AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM files),
 sym AS (SELECT path, line, 'symbol:' || path || ':' || line AS identity, (sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line) - length(t) - 1)::BIGINT AS s, (sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line) - 1)::BIGINT AS e FROM ln),
 ev AS (SELECT * FROM sym WHERE line = 3)
-SELECT 'file:' || path AS identity, 2::BIGINT AS grade FROM files JOIN ev USING (path) WHERE lang = 'en'
+SELECT 'file:' || path AS identity, 2::BIGINT AS grade FROM files JOIN ev USING (path)
 UNION ALL SELECT DISTINCT sym.identity, 2 FROM sym JOIN ev USING (path) WHERE sym.identity = ev.identity OR (sym.s <= ev.s AND ev.e <= sym.e)
-UNION ALL SELECT chunk.identity, 2 FROM chunk JOIN ev USING (path) WHERE lang = 'en' AND greatest(start_offset, ev.s) < least(end_offset, ev.e)""",
+UNION ALL SELECT chunk.identity, 2 FROM chunk JOIN ev USING (path) WHERE greatest(start_offset, ev.s) < least(end_offset, ev.e)""",
 }

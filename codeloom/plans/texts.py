@@ -15,26 +15,25 @@ def _lines(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
+def _odd_lines(spark, d):
+    """Whole texts, with a no-break space at the end of some, and wide blanks in front of others."""
+    return _lines(spark, d).withColumn("text", F.expr("case doc_id % 5 when 0 then concat(text, char(160)) when 1 then concat('\\u3000\\u3000\\n\\t\\u3000x\\u3000\\u3000y\\n', text) else text end"))
+
+
 def python_lint(spark, d):
-    return quality.lint_python(_lines(spark, d), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
+    return quality.lint_python(_odd_lines(spark, d), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def java_lint(spark, d):
-    return quality.lint_java(_lines(spark, d), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
+    return quality.lint_java(_odd_lines(spark, d), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def lint_display(spark, d):
-    shown = quality.shown_issues(quality.lint_python(_lines(spark, d), "doc_id", "text"), "doc_id", 5)
+    shown = quality.shown_issues(quality.lint_python(_odd_lines(spark, d), "doc_id", "text"), "doc_id", 5)
     return shown.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def translation_needs(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.expr("case when doc_id % 3 = 0 then concat(substring(text, 1, 20), '漢字') when doc_id % 3 = 1 then 'かな' else substring(text, 1, 20) end").alias("t"))
-    return t.select("doc_id", *[T.needs_translation(F.col("t"), lang).alias(lang) for lang in ("en", "zh", "ja", "de")])
-
-
-def translation_needs_whole(spark, d):
-    """translation_needs of whole texts."""
     return table(spark, d, "documents").select("doc_id", *[T.needs_translation(F.col("text"), lang).alias(lang) for lang in ("en", "zh", "ja", "de")])
 
 
@@ -58,12 +57,6 @@ def fence_strip(spark, d):
 
 
 def neutral_prompts(spark, d):
-    t = F.concat(F.lit("<SOURCE_CODE>"), F.substring("text", 1, 30), F.lit("</SOURCE_CODE>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.neutralise(t).alias("text"))
-
-
-def neutral_prompts_whole(spark, d):
-    """neutral_prompts of whole texts."""
     t = F.concat(F.lit("<SOURCE_CODE>"), F.coalesce("text", F.lit("")), F.lit("</SOURCE_CODE>"))
     return table(spark, d, "conversations").select("conv_id", "turn", T.neutralise(t).alias("text"))
 
@@ -92,9 +85,15 @@ def line_spans(spark, d):
     return t.select("doc_id", start.alias("start_offset"), end.alias("end_offset"), F.sha2(chunks.lines_between(F.col("text"), F.lit(2), F.lit(3)), 256).alias("sha"))
 
 
+#: SQL of both engines.
+NAMES = ("'Get  (Value)!'", "'get-value'", "'_get value_-2'", "'__!!'", "''", "cast(null as varchar(9))", "'get-value-2'", "concat('Fn ', c_custkey % 4)", "'item'")
+
+
 def name_slugs(spark, d):
-    t = table(spark, d, "customer").select("c_custkey", F.expr("concat('Fn ', c_custkey % 20, '!')").alias("name"), F.lit("g").alias("g"))
-    return quality.slugs(t, ["g"], "name", "c_custkey").select("c_custkey", "slug")
+    """Names of functions by nation: runs of other signs, signs at the ends, names without letters, and names that are the numbered slug of another."""
+    name = f"element_at(array({', '.join(NAMES)}), cast(c_custkey % {len(NAMES)} + 1 as int))"
+    t = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.expr(name).alias("name"))
+    return quality.slugs(t, ["c_nationkey"], "name", "c_custkey").select("c_custkey", "slug")
 
 
 def symbol_names(spark, d):
@@ -126,7 +125,7 @@ def log_heads(spark, d):
 
 
 def translations(spark, d):
-    words = {"title": {"en": "Report", "de": "Bericht"}, "none": {"en": "None"}}
+    words = {"title": {"中文": "报告", "en": "Report", "de": "Bericht"}, "none": {"en": "None"}}
     t = table(spark, d, "documents")
     return t.select("doc_id", T.lookup(words, F.expr("case doc_id % 3 when 0 then 'title' when 1 then 'none' else 'other' end"), F.col("lang")).alias("said"))
 
@@ -224,12 +223,13 @@ def split_diffs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    python_lint, java_lint, lint_display, translation_needs, translation_needs_whole, credential_texts, private_entries, output_errors, fence_strip, neutral_prompts, neutral_prompts_whole, output_names, python_modules,
+    python_lint, java_lint, lint_display, translation_needs, credential_texts, private_entries, output_errors, fence_strip, neutral_prompts, output_names, python_modules,
     path_checks, line_spans, name_slugs, symbol_names, file_languages, ignore_rules, batch_outcomes, log_heads, translations, kept_fields, references, run_eligibility,
     parsed_symbols, parsed_imports, code_measures, unannotated, input_errors, code_outline, split_diffs,
 )}
 
-_LN = r"""raw AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
+_LN = r"""documents AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || chr(160) WHEN 1 THEN repeat(chr(12288), 2) || chr(10) || chr(9) || chr(12288) || 'x' || repeat(chr(12288), 2) || 'y' || chr(10) || text ELSE text END AS text FROM main.documents),
+raw AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
 ln AS (SELECT doc_id, text, ls, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM raw),
 lx AS (SELECT *, regexp_replace(x, '^\s+', '') AS body, n >= 3 AND regexp_matches(x, '^\s*$') AND regexp_matches(ls[n - 1], '^\s*$') AND regexp_matches(ls[n - 2], '^\s*$') AS third FROM ln)"""
 _PYL = _LN + r""", iss AS (SELECT doc_id, n AS line_no, 'E501' AS rule FROM lx WHERE length(x) > 100
@@ -252,25 +252,29 @@ SELECT doc_id, n AS line_no, 'GJL001' AS rule FROM lb WHERE length(x) > 100 UNIO
 UNION ALL SELECT doc_id, n, 'GJL004' FROM lb WHERE regexp_matches(b, '[;,]\S') AND NOT starts_with(b, '//') UNION ALL SELECT doc_id, n, 'GJL005' FROM lb WHERE regexp_matches(b, '[)\w]\{') AND NOT regexp_matches(b, '^(//|\*|["''])')
 UNION ALL SELECT doc_id, n, 'GJL006' FROM lb WHERE third UNION ALL SELECT doc_id, len(ls), 'GJL007' FROM raw WHERE NOT ends_with(text, chr(10))""",
     "lint_display": f"WITH {_PYL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM iss) SELECT doc_id, line_no, rule, 0::BIGINT AS more FROM r WHERE k <= 5 UNION ALL SELECT doc_id, NULL, 'more', total - 5 FROM r WHERE k = 1 AND total > 5",
-    "translation_needs": "WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 20) || '漢字' WHEN 1 THEN 'かな' ELSE substr(text, 1, 20) END AS t FROM documents), f AS (SELECT doc_id, t, regexp_matches(t, '[一-鿿]') AS c, regexp_matches(t, '[぀-ヿ]') AS k FROM t) SELECT doc_id, t <> '' AND (c OR k) AS en, t <> '' AND (k OR NOT c) AS zh, t <> '' AND NOT k AS ja, false AS de FROM f",
-    "translation_needs_whole": "WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '[一-鿿]') AS c, regexp_matches(coalesce(text, ''), '[぀-ヿ]') AS k FROM documents) SELECT doc_id, t <> '' AND (c OR k) AS en, t <> '' AND (k OR NOT c) AS zh, t <> '' AND NOT k AS ja, false AS de FROM f",
+    "translation_needs": "WITH f AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '[一-鿿]') AS c, regexp_matches(coalesce(text, ''), '[぀-ヿ]') AS k FROM documents) SELECT doc_id, t <> '' AND (c OR k) AS en, t <> '' AND (k OR NOT c) AS zh, t <> '' AND NOT k AS ja, false AS de FROM f",
     "credential_texts": "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + T.CREDENTIAL_VALUE.replace("'", "''") + "') OR regexp_matches(text, '" + T.CREDENTIAL_ASSIGNMENT.replace("'", "''") + "')",
     "private_entries": "SELECT event_id, event_id % 7 = 0 AS private FROM events",
     "output_errors": f"WITH x AS (SELECT conv_id, turn, {_CONV} AS t FROM conversations) SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'EMPTY_RESPONSE' WHEN {_UNSAFE} THEN 'UNSAFE_RESPONSE' WHEN regexp_matches(t, '(?i){T.EXTRA_PROSE}') THEN 'EXTRA_PROSE' END AS error FROM x",
     "fence_strip": "SELECT conv_id, turn, CASE WHEN contains(text, '```') THEN NULL WHEN conv_id % 4 IN (0, 3) THEN sha256(trim(text)) END AS sha FROM conversations",
-    "neutral_prompts": "SELECT conv_id, turn, '[SOURCE_CODE]' || substr(text, 1, 30) || '[/SOURCE_CODE]' AS text FROM conversations",
-    "neutral_prompts_whole": "SELECT conv_id, turn, '[SOURCE_CODE]' || replace(replace(coalesce(text, ''), '<SOURCE_CODE>', '[SOURCE_CODE]'), '</SOURCE_CODE>', '[/SOURCE_CODE]') || '[/SOURCE_CODE]' AS text FROM conversations",
+    "neutral_prompts": "SELECT conv_id, turn, '[SOURCE_CODE]' || replace(replace(coalesce(text, ''), '<SOURCE_CODE>', '[SOURCE_CODE]'), '</SOURCE_CODE>', '[/SOURCE_CODE]') || '[/SOURCE_CODE]' AS text FROM conversations",
     "output_names": "SELECT doc_id, source || '/a.b/f' || doc_id || e AS same, source || '/a.b/f' || doc_id || '_annotated' || e AS suffix, 'annotated/' || source || '/a.b/f' || doc_id || e AS subdir FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.py' END AS e FROM documents)",
     "python_modules": "SELECT doc_id, source || '.p' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '.m' END AS module FROM documents",
     "path_checks": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'absolute' WHEN 2 THEN 'traversal' WHEN 3 THEN 'absolute' WHEN 4 THEN 'empty' END AS error, CASE page_id % 6 WHEN 1 THEN 'a/b/' || page_id WHEN 5 THEN 'a/b/' || page_id END AS path, page_id % 6 = 0 AS host_path FROM pages",
     "line_spans": "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, length(l[1]) + 1 AS start_offset, length(l[1]) + length(l[2]) + length(l[3]) + 2 AS end_offset, sha256(l[2] || chr(10) || l[3]) AS sha FROM t WHERE len(l) >= 3",
-    "name_slugs": "SELECT c_custkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM (SELECT c_custkey, 'fn-' || c_custkey % 20 AS s, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) AS n FROM customer)",
+    "name_slugs": f"""WITH RECURSIVE n AS (SELECT c_custkey, c_nationkey, [{', '.join(NAMES)}][c_custkey % {len(NAMES)} + 1] AS name FROM customer),
+s AS (SELECT *, lower(regexp_replace(regexp_replace(CASE WHEN coalesce(name, '') = '' THEN 'item' ELSE name END, '[^A-Za-z0-9_-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')) AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM n),
+b AS (SELECT c_custkey, c_nationkey, k, CASE WHEN t = '' THEN 'item-unknown' ELSE t END AS base FROM s),
+r AS (SELECT c_custkey, c_nationkey, k, base AS slug, [base] AS used FROM b WHERE k = 1
+  UNION ALL SELECT c_custkey, c_nationkey, k, slug, list_append(used, slug) FROM (
+    SELECT b.*, r.used, CASE WHEN NOT list_contains(r.used, base) THEN base ELSE base || '-' || list_filter(range(2, len(r.used) + 3), lambda i: NOT list_contains(r.used, base || '-' || i))[1] END AS slug FROM r JOIN b ON b.c_nationkey = r.c_nationkey AND b.k = r.k + 1))
+SELECT c_custkey, slug FROM r""",
     "symbol_names": "SELECT n_nationkey, concat_ws(':', 'python', lower(n_name), n_name, 'class', CASE WHEN n_nationkey % 2 = 0 THEN 'x()' END, CASE WHEN n_nationkey % 3 = 0 THEN 'line:' || n_nationkey END) AS symbol FROM nation",
     "file_languages": "SELECT ['python', 'java', 'typescript', 'other', 'other'][doc_id % 5 + 1] AS language, count(*) AS files, sum(length(text))::BIGINT AS bytes FROM documents GROUP BY 1",
     "ignore_rules": "SELECT doc_id, CASE WHEN doc_id % 6 = 2 THEN source || '/keep.log' ELSE source || '/f' || doc_id || '.py' END AS relative_path FROM documents WHERE doc_id % 6 IN (2, 4) AND source <> 'src1'",
     "batch_outcomes": "SELECT event_id, CASE WHEN NOT value > 20 THEN 'FAILED' WHEN event_type = 'error' THEN 'CANCELLED_WITH_RESULTS' WHEN event_id % 3 > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS outcome FROM events",
     "log_heads": "SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[1:2], chr(10))) AS sha FROM documents",
-    "translations": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN lang = 'de' THEN 'Bericht' ELSE 'Report' END WHEN 1 THEN 'None' ELSE 'other' END AS said FROM documents",
+    "translations": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE lang WHEN 'de' THEN 'Bericht' WHEN 'en' THEN 'Report' ELSE '报告' END WHEN 1 THEN CASE WHEN lang = 'en' THEN 'None' ELSE 'none' END ELSE 'other' END AS said FROM documents",
     "kept_fields": """SELECT event_id, '{"event":"' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ',"provider":"p"' ELSE '' END || '}' AS fields FROM events""",
     "references": "SELECT item_id, 'v1' AS truth_version, 'r1' AS derivation_rule_version FROM benchmark",
     "run_eligibility": "SELECT CASE WHEN o_orderstatus <> 'F' THEN 'status' WHEN substr(o_orderpriority, 1, 1) <> '1' THEN 'priority' END AS blocked_by, count(*) AS n FROM orders GROUP BY 1",
@@ -301,3 +305,9 @@ UNION ALL SELECT doc_id, n, 'GJL006' FROM lb WHERE third UNION ALL SELECT doc_id
     "input_errors": _values(["relative_path", "error"], [("pkg/a.py", None), ("com/First.java", None), ("bad.py", "INVALID_PYTHON"), ("x.md", "UNSUPPORTED_LANGUAGE"), ("empty", "EMPTY_INPUT"), ("open.java", "INVALID_JAVA"), ("long", "INPUT_TOO_LARGE")]),
     "code_outline": _values(["relative_path", "parent", "children"], [("pkg/a.py", None, "plain, Outer"), ("pkg/a.py", "Outer", "Inner, twice, twice"), ("pkg/a.py", "Outer.Inner", "deep"), ("com/First.java", None, "First, Second"), ("com/First.java", "First", "foo, foo, First, run")]),
 }
+
+#: What the second engine's patterns have to say for all white space and word characters of Unicode.
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+for _name in ("python_lint", "java_lint", "lint_display"):
+    for _short, _long in ((r"[^:\s]", f"[^:{_BLANK}]"), (r"[^#\s]", f"[^#{_BLANK}]"), (r"[)\w]", r"[)\p{L}\p{N}_]"), (r"\S", f"[^{_BLANK}]"), (r"\s", f"[{_BLANK}]")):
+        ORACLE[_name] = ORACLE[_name].replace(_short, _long)

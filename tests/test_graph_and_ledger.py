@@ -17,7 +17,7 @@ def cycles(spark, *pairs):
 
 def test_cycles(spark):
     assert cycles(spark, ("a.py", "b.py"), ("b.py", "a.py"), ("b.py", "c.py")) == ["Import cycle includes 2 files: a.py, b.py."]
-    assert cycles(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("z", "z")) == ["Import cycle includes 1 files: z.", "Import cycle includes 3 files: a, b, c."]
+    assert cycles(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("z", "z")) == ["Import cycle includes 1 file: z.", "Import cycle includes 3 files: a, b, c."]
     assert cycles(spark, *[(f"n{i:03}", f"n{i + 1:03}") for i in range(12)]) == []
 
 
@@ -35,7 +35,8 @@ def test_random_components(spark):
         own = frozenset(y for y in reach if y in reach[x] and x in reach[y])
         if len(own) > 1 or (x, x) in pairs:
             want[x] = min(own)
-    assert {r.node: r.component for r in graph.strong_components(edges(spark, *pairs)).collect()} == want
+    for one_task in (graph.ONE_TASK, 4, 0):
+        assert {r.node: r.component for r in graph.strong_components(edges(spark, *pairs), one_task).collect()} == want
 
 
 def test_expansion(spark):
@@ -54,11 +55,15 @@ def test_expansion(spark):
 
 
 def test_imports_resolve_only_by_whole_name(spark):
-    files = spark.createDataFrame([("package/local.py",), ("package/feature/consumer.py",), ("dup/m.py",), ("dup/m/__init__.py",)], "relative_path string")
-    rows = ["os", "..local", "package.local", "dup.m", "....deep", "."]
-    imports = spark.createDataFrame([("package/feature/consumer.py", t) for t in rows], "importer string, target string")
-    got = {r.target: r.resolved for r in graph.resolve_imports(imports, files).collect()}
-    assert got == {"os": None, "package.local": "package/local.py", "dup.m": None, "unresolved-relative:package.feature:4:deep": None, "package.feature": None}
+    files = spark.createDataFrame([("shop/cart.py",), ("shop/pay/card.py",), ("twin/x.py",), ("twin/x/__init__.py",), ("shop/pay/__init__.py",), ("j/A.java",)], "relative_path string")
+    rows = [("shop/pay/card.py", t) for t in ("json", "..cart", "twin.x", ".....far", ".", "shop.cart")] + [("shop/pay/__init__.py", "..cart"), ("j/A.java", "shop.cart"), ("j/A.java", "j.A")]
+    types = spark.createDataFrame([("j.A", "j/A.java"), ("j.B", "j/A.java"), ("j.B", "j/B.java")], "target string, resolved string")
+    got = {tuple(r) for r in graph.resolve_imports(spark.createDataFrame(rows, "importer string, target string"), files, types).collect()}
+    card, init = "shop/pay/card.py", "shop/pay/__init__.py"
+    assert got == {
+        (card, "json", None), (card, "shop.cart", "shop/cart.py"), (card, "twin.x", None), (card, "unresolved-relative:shop.pay:5:far", None), (card, "shop.pay", init),
+        (init, "shop.cart", "shop/cart.py"), ("j/A.java", "shop.cart", None), ("j/A.java", "j.A", "j/A.java"),
+    }
 
 
 def test_snapshot_checks(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -19,66 +19,75 @@ MAX_LINE = 100
 SHOWN = 50
 
 
-#: What ends a line, and what counts as blank (all white space of Unicode).
+#: What ends a line, and what counts as blank: in ASCII, and all white space of Unicode.
 LINE_END = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-SOLID = BLANK.replace("[", "[^", 1)
+ASCII_BLANK = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f ]"
+WIDE_BLANK = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK = ASCII_BLANK[:-1] + WIDE_BLANK[1:]
 WORD = r"\p{L}\p{N}_"
 
 
 def numbered_lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line number, line, whether this line and the two before it are blank, and whether it is the last; a line break at the end starts no line."""
+    """key, line number, line, whether it is blank, whether the two before it are blank too, whether it is the last and the text doesn't end with a line break, and whether the text has blanks beyond ASCII; a line break at the end starts no line."""
     body = F.regexp_replace(F.col(text), LINE_END, "\n")
-    some = spread(files).filter(F.coalesce(F.col(text), F.lit("")) != "")
-    cut = some.select(key, F.split(F.regexp_replace(body, "\n\\z", ""), "\n", -1).alias("_lines"))
+    some = spread(files.select(key, text)).filter(F.coalesce(F.col(text), F.lit("")) != "")
+    cut = some.select(key, F.split(F.regexp_replace(body, r"\n\z", ""), "\n", -1).alias("_lines"), (~F.endswith(F.col(text), F.lit("\n"))).alias("_open"), F.rlike(F.col(text), F.lit(WIDE_BLANK)).alias("wide"))
     blank = cut.withColumn("_blank", F.transform("_lines", lambda x: F.rlike(x, F.lit(f"^{BLANK}*$"))))
     # the two lines before each: the same flags, shifted
     before = lambda n: F.concat(F.array(*[F.lit(False)] * n), F.col("_blank")).alias(f"_before{n}")
-    shifted = blank.select(key, "_lines", "_blank", before(1), before(2), F.size("_lines").alias("_size"))
-    each = shifted.select(key, "_size", F.posexplode(F.slice(F.arrays_zip("_lines", "_blank", "_before1", "_before2"), F.lit(1), F.col("_size"))).alias("n", "x"))
+    shifted = blank.select(key, "wide", "_open", "_lines", "_blank", before(1), before(2), F.size("_lines").alias("_size"))
+    # explode alone would have its array made once more, by a filter on its size
+    each = shifted.select(key, "wide", "_open", "_size", F.posexplode_outer(F.slice(F.arrays_zip("_lines", "_blank", "_before1", "_before2"), F.lit(1), F.col("_size"))).alias("n", "x"))
     third = F.col("x._blank") & F.col("x._before1") & F.col("x._before2")
-    return each.select(key, (F.col("n") + 1).alias("line_no"), F.col("x._lines").alias("line"), third.alias("third"), (F.col("n") + 1 == F.col("_size")).alias("last"))
+    return each.select(key, (F.col("n") + 1).alias("line_no"), F.col("x._lines").alias("line"), F.col("x._blank").alias("blank"), third.alias("third"), ((F.col("n") + 1 == F.col("_size")) & F.col("_open")).alias("open_end"), "wide")
 
 
-def _issues(lines: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    found = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
-    return lines.select(key, "line_no", F.explode(found).alias("rule"))
+def _issues(lines: DataFrame, key: str, rules: Callable[[str], dict[str, Column]]) -> DataFrame:
+    """key, line_no, rule. rules: from a class of blanks; the short one is for texts in which no other blanks stand."""
+    narrow, wide = rules(ASCII_BLANK), rules(BLANK)
+    found = F.filter(F.array(*[F.when(F.when(F.col("wide"), wide[name]).otherwise(narrow[name]), F.lit(name)) for name in wide]), lambda x: x.isNotNull())
+    return lines.select(key, "line_no", F.explode_outer(found).alias("rule")).filter("rule is not null")
 
 
-def _no_end(files: DataFrame, key: str, text: str, rule: str, lines: DataFrame) -> DataFrame:
-    open_ = files.filter((F.col(text) != "") & ~F.endswith(F.col(text), F.lit("\n"))).select(key)
-    return lines.filter("last").select(key, "line_no").join(open_, key, "left_semi").select(key, "line_no", F.lit(rule).alias("rule"))
+def _ends_blank(x: Column, blank: str) -> Column:
+    return ~F.col("blank") & F.rlike(F.substring(x, -1, 1), F.lit(blank))
 
 
 def lint_python(files: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, rule: long lines, blanks at the end, tabs in the indent, runs of blanks, blank lines in threes, no line break at the end."""
     x = F.col("line")
-    body = F.regexp_replace(x, f"^{BLANK}+", "")
-    rules = {
-        "E501": F.length(x) > MAX_LINE,
-        "W291": F.rlike(x, F.lit(f"{SOLID}{BLANK}+$")),
-        "W191": F.rlike(x, F.lit(f"^{BLANK}*\t{BLANK}*{SOLID}")),
-        "E221": F.rlike(body, F.lit(f"{SOLID.replace('[^', '[^:', 1)}{BLANK}{{2,}}{SOLID.replace('[^', '[^#', 1)}")) & ~F.rlike(body, F.lit('^[#"]')),
-        "E303": F.col("third"),
-    }
-    lines = numbered_lines(files, key, text)
-    return _issues(lines, key, rules).unionByName(_no_end(files, key, text, "W292", lines))
+
+    def rules(blank: str) -> dict[str, Column]:
+        body, solid = F.regexp_replace(x, f"^{blank}+", ""), blank.replace("[", "[^", 1)
+        return {
+            "E501": F.length(x) > MAX_LINE,
+            "W291": _ends_blank(x, blank),
+            "W191": F.rlike(x, F.lit(f"^{blank}*\t{blank}*{solid}")),
+            "E221": F.rlike(x, F.lit(f"{blank}{{2}}")) & F.rlike(body, F.lit(f"{solid.replace('[^', '[^:', 1)}{blank}{{2,}}{solid.replace('[^', '[^#', 1)}")) & ~F.rlike(body, F.lit('^[#"]')),
+            "E303": F.col("third"),
+            "W292": F.col("open_end"),
+        }
+
+    return _issues(numbered_lines(files, key, text), key, rules)
 
 
 def lint_java(files: DataFrame, key: str, text: str) -> DataFrame:
     """The same for Java: also blanks after commas and before braces."""
     x = F.col("line")
-    body = F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
-    rules = {
-        "GJL001": F.length(x) > MAX_LINE,
-        "GJL002": F.rlike(x, F.lit(f"{SOLID}{BLANK}+$")),
-        "GJL003": F.rlike(x, F.lit(f"^{BLANK}*\t{BLANK}*{SOLID}")),
-        "GJL004": F.rlike(body, F.lit(f"[;,]{SOLID}")) & ~F.startswith(body, F.lit("//")),
-        "GJL005": F.rlike(body, F.lit(f"[){WORD}]\\{{")) & ~F.rlike(body, F.lit("^(//|\\*|[\"'])")),
-        "GJL006": F.col("third"),
-    }
-    lines = numbered_lines(files, key, text)
-    return _issues(lines, key, rules).unionByName(_no_end(files, key, text, "GJL007", lines))
+
+    def rules(blank: str) -> dict[str, Column]:
+        body, solid = F.regexp_replace(x, f"^{blank}+|{blank}+$", ""), blank.replace("[", "[^", 1)
+        return {
+            "GJL001": F.length(x) > MAX_LINE,
+            "GJL002": _ends_blank(x, blank),
+            "GJL003": F.rlike(x, F.lit(f"^{blank}*\t{blank}*{solid}")),
+            "GJL004": F.rlike(x, F.lit("[;,]")) & F.rlike(body, F.lit(f"[;,]{solid}")) & ~F.startswith(body, F.lit("//")),
+            "GJL005": F.contains(x, F.lit("{")) & F.rlike(body, F.lit(f"[){WORD}]\\{{")) & ~F.rlike(body, F.lit("^(//|\\*|[\"'])")),
+            "GJL006": F.col("third"),
+            "GJL007": F.col("open_end"),
+        }
+
+    return _issues(numbered_lines(files, key, text), key, rules)
 
 
 def shown_issues(issues: DataFrame, key: str, most: int = SHOWN) -> DataFrame:

@@ -101,8 +101,8 @@ def test_java_scan():
         ("Box.Box", "def", 9, 9, "Box(Map<String,List<T>>,int...)", False),
         ("Box.text", "def", 13, 13, "text(int)", True),
         ("Box.run", "def", 13, 13, "run()", True),
-        ("Box.Kind", "class", 14, 14, None, False),
-        ("Box.Kind.n", "def", 14, 14, "n()", False),
+        ("Box.Kind", "class", 14, 14, None, True),
+        ("Box.Kind.n", "def", 14, 14, "n()", True),
         ("Open", "class", 16, 16, None, False),
         ("Open.some", "def", 16, 16, "some()", False),
     ]

@@ -277,7 +277,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, numbers and dates replaced, and the new text of each document. key: a secret of the caller."""
+    """doc_id, how many numbers, dates, e-mail addresses and values of all kinds were replaced, and the new text of each document. key: a secret of the caller."""
     if not key:
         raise ValueError("pseudonyms need a key")
     text = F.col("text").cast("string")
@@ -297,5 +297,6 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         n(lambda k: k.isin("card", "ip", "phone", "ssn", "iban")).alias("n_numbers"),
         n(lambda k: k == "date").alias("n_dates"),
         n(lambda k: k == "email").alias("n_emails"),
+        n(lambda k: k.isNotNull()).alias("n_replaced"),
         F.when(F.col("pieces").isNotNull(), new).otherwise(F.col("text")).alias("text"),
     )

@@ -72,6 +72,49 @@ def document_files(files: DataFrame, load: Generator, target: str = "en", increm
     return joined.select("relative_path", output_name(F.col("relative_path"), naming).alias("output_path"), "annotated", "inserted", outcome.alias("outcome"))
 
 
+class GeneratorRegistry:
+    """Text generators by name, with the limits each one's provider sets; an unknown or repeated name raises."""
+
+    def __init__(self):
+        self._known: dict[str, tuple[Generator, int]] = {}
+
+    def register(self, name: str, load: Generator, max_chars: int = 100_000) -> None:
+        if not name or name in self._known or max_chars < 1:
+            raise ValueError("a generator has a name of its own and a limit above 0")
+        self._known[name] = load, max_chars
+
+    def names(self) -> list[str]:
+        return sorted(self._known)
+
+    def load(self, name: str) -> Generator:
+        if name not in self._known:
+            raise ValueError(f"no generator {name}: there are {', '.join(self.names())}")
+        return self._known[name][0]
+
+    def limit(self, name: str) -> int:
+        self.load(name)
+        return self._known[name][1]
+
+
+def batch(files: DataFrame, registry: GeneratorRegistry, name: str, **options) -> dict[str, DataFrame]:
+    """A batch over many files: `results` of those whose source is sound and within the generator's limit, `log` (relative_path, step, message) of all in order of their paths, and `counts` of outcomes."""
+    error = quality.input_error(F.col("content"), F.col("language"), registry.limit(name))
+    checked = files.withColumn("_error", error)
+    results = document_files(checked.filter("_error is null").drop("_error"), registry.load(name), **options)
+    rejected = checked.filter("_error is not null").select("relative_path", F.lit("input").alias("step"), F.col("_error").alias("message"))
+    done = results.select("relative_path", F.lit("document").alias("step"), F.concat_ws(" ", "outcome", F.col("inserted").cast("string")).alias("message"))
+    counts = results.select("outcome").unionByName(rejected.select(F.lit("REJECTED").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("files"))
+    return {"results": results, "log": rejected.unionByName(done).orderBy("relative_path", "step"), "counts": counts}
+
+
+def progress(spark, group: str) -> dict[str, int]:
+    """Tasks of the running stages of a job group: all, done, failed."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in getattr(tracker.getJobInfo(job), "stageIds", ())]
+    some = [s for s in stages if s is not None]
+    return {"tasks": sum(s.numTasks for s in some), "done": sum(s.numCompletedTasks for s in some), "failed": sum(s.numFailedTasks for s in some)}
+
+
 def cancellable(spark, group: str) -> Callable[[], None]:
     """Marks this thread's jobs as a group; the returned function cancels them."""
     spark.sparkContext.setJobGroup(group, group, interruptOnCancel=True)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import CREDENTIAL_ASSIGNMENT, CREDENTIAL_NAME, CREDENTIAL_VALUE
 from codeloom.operators.evaluation import assert_empty, assert_unique
 
 REVIEW_DELAY_SECONDS = 48 * 3600
@@ -64,6 +66,54 @@ def strict_json_udf():
     return canonical
 
 
+def is_private(value, inside: str = "") -> bool:
+    """Whether a JSON value has a key or text, at any depth, that looks like a credential.
+
+    Names of graded candidates (under `metric_inputs`, of a file, chunk or symbol, with grade 0, 1 or 2) are data and not
+    fields; what a symbol's name holds as JSON is looked through in turn, and one that isn't a JSON object counts as private.
+    """
+    if isinstance(value, list):
+        return any(is_private(x) for x in value)
+    if isinstance(value, str):
+        return bool(_SAID.search(value))
+    if not isinstance(value, dict):
+        return False
+    for name, item in value.items():
+        graded = inside == "metric_inputs" and name.startswith(("file:", "chunk:", "symbol:")) and type(item) is int and 0 <= item <= 2
+        if _SAID.search(name) or (not graded and _NAMED.search(name)):
+            return True
+        if graded and name.startswith("symbol:"):
+            try:
+                record = json.loads(name.removeprefix("symbol:"))
+            except ValueError:
+                return True
+            if not isinstance(record, dict) or is_private(record):
+                return True
+        if is_private(item, name):
+            return True
+    return False
+
+
+_NAMED = re.compile(CREDENTIAL_NAME, re.I)
+_SAID = re.compile(f"{CREDENTIAL_VALUE}|(?:{CREDENTIAL_ASSIGNMENT.removeprefix('(?i)')})")
+
+
+def private_record_udf():
+    """is_private of JSON texts; null for what isn't JSON."""
+
+    @F.pandas_udf("boolean")
+    def private(text: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return is_private(json.loads(t))
+            except (TypeError, ValueError, RecursionError):
+                return None
+
+        return text.map(one).astype(object)
+
+    return private
+
+
 def audit_replies(raw: DataFrame, prepared: DataFrame) -> DataFrame:
     """query_id, verdict, reviews of replies (query_id, reply) that are strict JSON and name just the prepared items (query_id, item_id); others raise."""
     parsed = raw.select("query_id", strict_json_udf()(F.col("reply")).alias("j"))

@@ -316,5 +316,17 @@ def log_head(log: Column, lines: int = 6) -> Column:
 
 
 def facade(files: DataFrame) -> dict[str, DataFrame]:
-    """The reports of a set of Python files (relative_path, content), by name."""
-    return {"measures": measures(files), "annotations": missing_annotations(files), "lint": shown_issues(lint_python(files, "relative_path", "content"), "relative_path")}
+    """The reports of a set of Python and Java files (project_id, relative_path, language, content), by name: measures and annotations of Python, style rules, symbols, outlines and input errors of both."""
+    from codeloom.operators.parsing import symbols
+
+    python, java = (files.filter(F.lower("language") == name) for name in ("python", "java"))
+    issues = lint_python(python, "relative_path", "content").unionByName(lint_java(java, "relative_path", "content"))
+    found = symbols(files)
+    return {
+        "measures": measures(python),
+        "annotations": missing_annotations(python),
+        "lint": shown_issues(issues, "relative_path"),
+        "symbols": found,
+        "outline": outline(found),
+        "errors": files.select("relative_path", input_error(F.col("content"), F.col("language")).alias("error")).filter("error is not null"),
+    }

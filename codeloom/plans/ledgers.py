@@ -145,6 +145,15 @@ ORACLE = {
     "first_writes": f"WITH {_TX}, {_FIRST} SELECT transaction_id, type, account_id, request_id, amount, conflict FROM fw",
     "idempotent_lookup": f"WITH {_TX}, {_FIRST} SELECT type, account_id, request_id, transaction_id, amount, sequence FROM fw",
     "transaction_errors": f"WITH {_TX}, t AS (SELECT sequence, type, request_id, CASE WHEN sequence % 17 = 0 THEN 0 WHEN sequence % 19 = 0 THEN -amount ELSE amount END AS amount FROM tx) SELECT sequence, CASE WHEN amount = 0 THEN 'AMOUNT' WHEN (type IN ('grant', 'refund') AND amount < 0) OR (type = 'usage' AND amount > 0) THEN 'SIGN' WHEN type IN ('usage', 'refund') AND request_id IS NULL THEN 'REQUEST' END AS error FROM t",
+    "ledger_fold": f"""WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS account_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'charge' WHEN 'click' THEN 'refund' WHEN 'error' THEN 'adjust' ELSE 'grant' END AS op, CASE WHEN event_type IN ('purchase', 'click') THEN props END AS request, {_C} - CASE WHEN event_type = 'error' THEN 20000 ELSE 0 END AS given, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT account_id, 0::BIGINT AS k, 0::BIGINT AS seq, '' AS op, '' AS status, 0::BIGINT AS amount, 0::BIGINT AS balance, []::VARCHAR[] AS done, []::BIGINT[] AS sums FROM (SELECT DISTINCT account_id FROM o)
+  UNION ALL SELECT account_id, k, seq, op, status, CASE WHEN status = 'applied' THEN signed ELSE 0 END, had + CASE WHEN status = 'applied' THEN signed ELSE 0 END,
+    CASE WHEN status = 'applied' AND name IS NOT NULL THEN list_append(done, name) ELSE done END, CASE WHEN status = 'applied' AND name IS NOT NULL THEN list_append(sums, given) ELSE sums END
+  FROM (SELECT *, CASE WHEN given = 0 OR (op <> 'adjust' AND given < 0) OR (op IN ('charge', 'refund') AND request IS NULL) THEN 'invalid'
+      WHEN name IS NOT NULL AND list_contains(done, name) THEN CASE WHEN sums[list_position(done, name)] = given THEN 'replayed' ELSE 'conflict' END
+      WHEN had + signed < 0 AND op IN ('charge', 'adjust') THEN 'rejected' ELSE 'applied' END AS status
+    FROM (SELECT o.*, r.balance AS had, r.done, r.sums, CASE WHEN o.op = 'charge' THEN -given ELSE given END AS signed, CASE WHEN o.op IN ('charge', 'refund') THEN o.op || ' ' || request END AS name FROM r JOIN o ON o.account_id = r.account_id AND o.k = r.k + 1)))
+SELECT account_id, seq, op, status, amount, balance FROM r WHERE k > 0""",
     "token_pricing": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ceil((l_quantity::BIGINT * 2.01 + (l_partkey % 1000) * 0.125) / 1000)::BIGINT AS credits FROM lineitem",
     "exact_pricing": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity::BIGINT + 2 * (l_partkey % 1000)) || repeat('0', 37) AS credits FROM lineitem",
     "decimal_text": "SELECT CASE WHEN l_discount::DECIMAL(10,4) = 0 THEN '0' ELSE rtrim(rtrim(l_discount::DECIMAL(10,4)::VARCHAR, '0'), '.') END AS text, count(*) AS n FROM lineitem GROUP BY 1",

@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("retrieval", "graphs", "ledgers", "texts")
+MODULES: tuple[str, ...] = ("retrieval", "graphs", "ledgers", "texts", "records")
 FLAGSHIP = "bm25_ranking"
 
 

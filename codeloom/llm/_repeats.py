@@ -74,7 +74,7 @@ def cut(docs: DataFrame, tokens: Callable[[A.Chunk], tuple[np.ndarray, np.ndarra
                     place, text_hash = (part.column(c).to_numpy(zero_copy_only=False)[s.row] for c in ("place", "text_hash"))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, text_hash, s.first.astype(np.int32), s.count.astype(np.int32), s.anchor, s.content)], names=["place", "text_hash", "first", "count", "anchor", "content"])
 
-    return docs.select("place", "text_hash", "text").mapInArrow(rows, "place long, text_hash long, first int, count int, anchor long, content long")
+    return docs.select("place", "text_hash", "text").mapInArrow(A.released(rows), "place long, text_hash long, first int, count int, anchor long, content long")
 
 
 def _lists(starts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -113,7 +113,7 @@ def _fetch(reps: DataFrame, texts: DataFrame, span: Callable[[A.Chunk], tuple[np
                 )
 
     joined = texts.join(wanted, ["place", "text_hash"]).select("place", "text_hash", "text", "first", "count", "anchor", "content")
-    return joined.mapInArrow(rows, "anchor long, content long, count int, bytes binary")
+    return joined.mapInArrow(A.released(rows), "anchor long, content long, count int, bytes binary")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Shard]]:
@@ -207,7 +207,7 @@ def removed_windows(
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     form = "anchor long, content long, part int, lo array<int>, hi array<int>, least array<long>, high array<long>, low array<long>, times array<long>, smallest array<long>, greatest array<long>"
-    verdicts, _ = written(shards.mapInArrow(judged, form), "verdicts")
+    verdicts, _ = written(shards.mapInArrow(A.released(judged), form), "verdicts")
     drop(spark, distinct_path)
     # windows of split anchors: one row for each shard and different window, merged over the shards
     opened = verdicts.filter(F.size("high") > 0).select("anchor", "content", "part", F.posexplode(F.arrays_zip("high", "low", "times", "smallest", "greatest")).alias("at", "w"))
@@ -237,7 +237,7 @@ def removed_windows(
                 out = {"doc_id": part.column("doc_id")} | apply(chunk, *bounds)
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return texts.join(gone, ["place", "text_hash"], "left").select("doc_id", "text", "lo", "hi", "later").mapInArrow(applied, schema)
+    return texts.join(gone, ["place", "text_hash"], "left").select("doc_id", "text", "lo", "hi", "later").mapInArrow(A.released(applied), schema)
 
 
 def _values(lists: pa.Array) -> list[np.ndarray]:

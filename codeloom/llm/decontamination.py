@@ -32,7 +32,7 @@ from ._tables import written
 WINDOW = 13
 SHARE = 20
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 #: What separates words: ASCII but digits and small letters. Capitals are made small first.
 _BLANK = np.zeros(256, dtype=bool)
@@ -196,7 +196,7 @@ def _searched(docs: DataFrame, sent, kept: str, only_found: bool = False) -> Dat
                 full = pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                 yield full.filter(pa.array([len(x) > 0 for x in out["hits"]], pa.bool_())) if only_found else full
 
-    return docs.mapInArrow(rows, f"{kept}, {FOUND}, n_words long")
+    return docs.mapInArrow(A.released(rows), f"{kept}, {FOUND}, n_words long")
 
 
 def _gathered(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:

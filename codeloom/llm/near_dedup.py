@@ -48,7 +48,7 @@ SLACK = 4.0
 WORTH = 20
 #: Darts thrown at a time, and bytes of text: what bounds a worker's memory.
 _DARTS = 1 << 18
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def shingles(chunk: A.Chunk, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _buckets(texts: DataFrame) -> DataFrame:
                 flat = folded[some].reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(flat)), pa.array([x.tobytes() for x in bytes_[some]], pa.binary())], names=["node", "buckets", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(rows, "node long, buckets array<long>, sketch binary")
+    return texts.select("node", "text").mapInArrow(A.released(rows), "node long, buckets array<long>, sketch binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                         out.append((leader[k], node[k]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(compared, "a long, b long")
+    return both.mapInArrow(A.released(compared), "a long, b long")
 
 
 def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -290,7 +290,7 @@ def _rest(grouped: DataFrame, sketched: DataFrame, texts: DataFrame, threshold:
                             out.append((a["node"], b["node"]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(settled, "a long, b long")
+    return dealt.mapInArrow(A.released(settled), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -33,6 +33,8 @@ MAX_COVERED_PERCENT = 30
 MAX_LONGEST = 200
 MAX_LONGEST_PERCENT = 10
 
+#: Bytes of text at a time: what bounds a worker's memory.
+_CHUNK = 1 << 19
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
@@ -131,7 +133,7 @@ def quality_rules(
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in A.chunks(batch.column("text")):
+            for chunk in A.chunks(batch.column("text"), _CHUNK):
                 m = measure(chunk, min_repeat)
                 words = m["n_words"]
                 failed = (words < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * words)
@@ -151,5 +153,5 @@ def quality_rules(
                 )
 
     if columns is not None:
-        return docs.mapInArrow(judged, columns)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judged, SCHEMA)
+        return docs.mapInArrow(A.released(judged), columns)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(A.released(judged), SCHEMA)

@@ -162,7 +162,7 @@ def merge_shards(local: DataFrame) -> DataFrame:
             yield out()
 
     dealt = ranged.repartition("range").sortWithinPartitions("range", "anchor", "part", "high", "low").select("range", "anchor", "part", *names)
-    return dealt.mapInArrow(merged, ", ".join(f"{c} long" for c in names))
+    return dealt.mapInArrow(A.released(merged), ", ".join(f"{c} long" for c in names))
 
 
 def _apply(chunk: A.Chunk, lo: list[np.ndarray], hi: list[np.ndarray], later: list[np.ndarray]) -> dict[str, pa.Array]:

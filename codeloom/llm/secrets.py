@@ -32,6 +32,8 @@ KINDS = ("assign", "access", "hex", "owner")
 
 #: Further candidates: tokens of this form with a digit and two kinds of letter, or a digit and a sign.
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
+#: No span of any kind is in a text without this: a cheap test before the patterns.
+NEEDS = "[0-9:=]|AKIA|[a-f]{%d}" % LEAST["hex"]
 #: A value that more owners have is an example.
 MAX_OWNERS = 2
 #: So is a value in more repositories, whoever owns them.
@@ -63,6 +65,11 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _where_needed(text: Column, spans: Column) -> Column:
+    none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,hash:string,made_up:boolean>>")
+    return F.when(F.rlike(text, F.lit(NEEDS)), spans).otherwise(none)
+
+
 def _mixed(value: Column) -> Column:
     has = lambda p: F.rlike(value, F.lit(p)).cast("int")
     return (has("[0-9]") == 1) & (has("[a-z]") + has("[A-Z]") + has("[+/_=-]") >= 2)
@@ -76,8 +83,8 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.coalesce(owner, F.lit("")).alias("owner"),
-        base_spans(text).alias("base"),
-        _tagged(F.filter(match_spans(text, TOKEN), lambda s: _mixed(s["value"])), "owner", lambda s: s["value"]).alias("tokens"),
+        _where_needed(text, base_spans(text)).alias("base"),
+        _where_needed(text, _tagged(F.filter(match_spans(text, TOKEN), lambda s: _mixed(s["value"])), "owner", lambda s: s["value"])).alias("tokens"),
     )
     # candidates of the documents that have any: few and short
     overlaps = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
@@ -121,7 +128,7 @@ def secret_counts(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositorie
 
 def may_hold_secrets(text: Column) -> Column:
     """Whether a text has anything that a span could start from."""
-    return F.coalesce(F.regexp_like(text, F.lit(f"{ASSIGN}|{ACCESS[:-1]}{{{LEAST['access'] - 4},}}|{HEX[:-1]}{{{LEAST['hex']},}}|{TOKEN}")), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(NEEDS)) & F.regexp_like(text, F.lit(f"{ASSIGN}|{ACCESS[:-1]}{{{LEAST['access'] - 4},}}|{HEX[:-1]}{{{LEAST['hex']},}}|{TOKEN}")), F.lit(False))
 
 
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:

@@ -73,7 +73,10 @@ class PieceTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.beside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.held: dict[int, int] = {}
+        self.done_chars = self.fine_chars = 0
+        # of each id, its decimal text and what it decodes to
+        self.decimal = [str(i) for i in range(n)]
+        self.said = [p.replace(MARK, " ") for p in self.pieces]
         self.done: dict[str, tuple[int, str, str]] = {}
         self.fine: dict[str, list[int]] = {}
 
@@ -95,21 +98,24 @@ class PieceTable:
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         left, right = self.pieces[a], self.pieces[b]
-        known = self.pairs[a << 32 | b] = self.merge(left + right) == [left, right]
+        known = self.pairs[a * len(self.pieces) + b] = self.merge(left + right) == [left, right]
         return known
 
     def last_tokens(self, part: str) -> tuple[list[int], list[int]]:
         """For each prefix of a part, its last token, and that token's length; UNKNOWN after a character that is no piece."""
-        token_at, size_at, pairs = [UNKNOWN] * (len(part) + 1), [1] * (len(part) + 1), self.pairs
+        token_at, size_at, fits, base = [UNKNOWN] * (len(part) + 1), [1] * (len(part) + 1), self.pairs.get, len(self.pieces)
         for end, (token, size) in self.automaton.iter(part):
             end += 1
-            if token_at[end] != UNKNOWN:
+            if token_at[end] >= 0:
                 continue
-            before = token_at[end - size] if end > size else UNKNOWN
-            if before != UNKNOWN:
-                fits = pairs.get(before << 32 | token)
-                if not (self.compatible(before, token) if fits is None else fits):
-                    continue
+            if end > size:
+                before = token_at[end - size]
+                if before >= 0:
+                    known = fits(before * base + token)
+                    if known is None:
+                        known = self.compatible(before, token)
+                    if not known:
+                        continue
             token_at[end], size_at[end] = token, size
         return token_at, size_at
 
@@ -126,27 +132,24 @@ class PieceTable:
         ids.reverse()
         return ids
 
-    def remember(self, cache: dict, part: str, got) -> None:
-        if len(part) > CACHE_LONGEST:
-            return
-        held = self.held.get(id(cache), 0) + len(part)
-        if len(cache) >= CACHE_PARTS or held > CACHE_CHARS:
-            cache.clear()
-            held = len(part)
-        cache[part], self.held[id(cache)] = got, held
-
     def encode_finely(self, part: str) -> list[int]:
         """encode_part, cut where two characters stand side by side in no piece; what lies between cuts is remembered."""
+        beside, fine = self.beside, self.fine
+        cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in beside]
         ids, start = [], 0
-        for k in range(1, len(part) + 1):
-            if k == len(part) or part[k - 1 : k + 1] not in self.beside:
-                some = part[start:k]
-                got = self.fine.get(some)
-                if got is None:
-                    got = self.encode_part(some)
-                    self.remember(self.fine, some, got)
-                ids += got
-                start = k
+        for k in (*cuts, len(part)):
+            some = part[start:k]
+            got = fine.get(some)
+            if got is None:
+                got = self.encode_part(some)
+                if k - start <= CACHE_LONGEST:
+                    self.fine_chars += k - start
+                    if len(fine) >= CACHE_PARTS or self.fine_chars > CACHE_CHARS:
+                        fine.clear()
+                        self.fine_chars = k - start
+                    fine[some] = got
+            ids += got
+            start = k
         return ids
 
     def parts(self, text: str) -> list[str]:
@@ -157,18 +160,23 @@ class PieceTable:
         return [i for part in self.parts(text or "") for i in self.encode_part(part.replace(" ", MARK))]
 
     def encoded(self, part: str) -> tuple[int, str, str]:
-        """The number of ids of a part, the ids with commas, and what they decode to; remembered."""
-        got = self.done.get(part)
-        if got is None:
-            ids = self.encode_finely(part.replace(" ", MARK))
-            got = len(ids), ",".join(map(str, ids)), self.spell(ids)
-            self.remember(self.done, part, got)
+        """The number of ids of a part, the ids with commas, and what they decode to; remembered in `done`."""
+        ids = self.encode_finely(part.replace(" ", MARK))
+        decimal = self.decimal
+        got = len(ids), ",".join([decimal[i] for i in ids]), self.spell(ids)
+        if len(part) <= CACHE_LONGEST:
+            self.done_chars += len(part)
+            if len(self.done) >= CACHE_PARTS or self.done_chars > CACHE_CHARS:
+                self.done.clear()
+                self.done_chars = len(part)
+            self.done[part] = got
         return got
 
     def spell(self, ids: list[int]) -> str:
         """The text of ids without the rule for the space in front; bytes that aren't UTF-8 become U+FFFD each."""
         if self.special.isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+            said = self.said
+            return "".join([said[i] for i in ids])
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -211,16 +219,12 @@ def piece_table(model_path: str) -> PieceTable:
 
 def digest(table: PieceTable, text: str | None) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the decoded text."""
-    n, numbers, spelled = 0, [], []
-    for part in table.parts(text or ""):
-        size, listed, said = table.encoded(part)
-        n += size
-        numbers.append(listed)
-        spelled.append(said)
-    decoded = "".join(spelled)
+    known, encoded = table.done.get, table.encoded
+    got = [known(part) or encoded(part) for part in table.parts(text or "")]
+    decoded = "".join([x[2] for x in got])
     if table.front and decoded.startswith(table.front):
         decoded = decoded[len(table.front) :]
-    return n, hashlib.sha256(",".join(numbers).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+    return sum([x[0] for x in got]), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

@@ -9,8 +9,9 @@ last prefix. Characters that are no piece keep everything apart and become byte
 
 No piece has a space mark behind another character, so a text falls into parts, a run of spaces and what
 follows up to the next space, that don't influence each other; a line break is a part of its own if no longer
-piece holds it. Parts repeat, so each worker keeps what it has encoded, up to `CACHE_PARTS` parts, and
-starts anew beyond that. Each text is encoded alone and whole: nothing is shuffled.
+piece holds it, and a part ends between a letter and another sign if no piece holds two such neighbours. Parts
+repeat, so each worker keeps what it has encoded, up to `CACHE_PARTS` parts, and starts anew beyond that. Each text
+is encoded alone and whole: nothing is shuffled.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results.
 Only the id and the text are read, whatever else the input has.
@@ -64,7 +65,17 @@ class PieceTable:
         if model.encode(probe + "  ", out_type=str)[-1].strip(MARK):
             raise ValueError("the model removes spaces; only identity normalisation is supported")
         alone = not any("\n" in p and len(p) > 1 for p in self.id)
-        self.part = re.compile(r" *[^ \n]+| +|\n" if alone else r" *[^ ]+| +").findall
+        # letters end where others begin, if no piece goes across; word signs that are no letters count as others
+        odd = "".join(re.escape(c) for c in sorted({c for p in self.id for c in p}) if c.isalnum() and not c.isalpha())
+        letters, others = rf"[^\W\d_{odd}]", rf"(?:[^\w \n]|[\d_{odd}])"
+        across = re.compile(f"{letters}{others}|(?!{MARK}){others}{letters}")
+        if not alone:
+            parts = r" *[^ ]+| +"
+        elif any(across.search(p) for p in self.id):
+            parts = r" *[^ \n]+| +|\n"
+        else:
+            parts = rf" *{letters}+| *{others}+| +|\n"
+        self.part = re.compile(parts).findall
         # the automaton holds the pieces that encode to themselves; others are never a last token
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
@@ -72,13 +83,11 @@ class PieceTable:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.beside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.done_chars = self.fine_chars = 0
+        self.done_chars = 0
         # of each id, its decimal text and what it decodes to
         self.decimal = [str(i) for i in range(n)]
         self.said = [p.replace(MARK, " ") for p in self.pieces]
         self.done: dict[str, tuple[int, str, str]] = {}
-        self.fine: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[str]:
         """What joining the best pair again and again makes of a short text; of equal scores the leftmost goes first."""
@@ -132,26 +141,6 @@ class PieceTable:
         ids.reverse()
         return ids
 
-    def encode_finely(self, part: str) -> list[int]:
-        """encode_part, cut where two characters stand side by side in no piece; what lies between cuts is remembered."""
-        beside, fine = self.beside, self.fine
-        cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in beside]
-        ids, start = [], 0
-        for k in (*cuts, len(part)):
-            some = part[start:k]
-            got = fine.get(some)
-            if got is None:
-                got = self.encode_part(some)
-                if k - start <= CACHE_LONGEST:
-                    self.fine_chars += k - start
-                    if len(fine) >= CACHE_PARTS or self.fine_chars > CACHE_CHARS:
-                        fine.clear()
-                        self.fine_chars = k - start
-                    fine[some] = got
-            ids += got
-            start = k
-        return ids
-
     def parts(self, text: str) -> list[str]:
         return self.part(self.front + text.replace(MARK, " ")) if text else []
 
@@ -161,7 +150,7 @@ class PieceTable:
 
     def encoded(self, part: str) -> tuple[int, str, str]:
         """The number of ids of a part, the ids with commas, and what they decode to; remembered in `done`."""
-        ids = self.encode_finely(part.replace(" ", MARK))
+        ids = self.encode_part(part.replace(" ", MARK))
         decimal = self.decimal
         got = len(ids), ",".join([decimal[i] for i in ids]), self.spell(ids)
         if len(part) <= CACHE_LONGEST:

@@ -181,6 +181,21 @@ def test_decoding_any_ids():
         assert table.decode(ids) == model.decode(ids)
 
 
+def test_parts_cut_between_letters_and_other_signs():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    table = pieces.piece_table(queries.tokenizer_path())
+    rnd = random.Random(11)
+    signs = "aeinrstéßñ" * 4 + "²³½①Ⅷ٣一あа́̈" + "0189_.,;'-%& \t\n\xa0▁" * 2 + "😀﷽\u200d"
+    for _ in range(1500):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 40)))
+        ids = model.encode(text)
+        assert "".join(table.parts(text)) == " " + text.replace("▁", " ") and table.encode(text) == ids
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), model.decode(ids))]
+        assert pieces.digest(table, text) == (len(ids), *digests)
+
+
 def test_parts_may_be_forgotten(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_PARTS", 3)
     monkeypatch.setattr(pieces, "CACHE_PAIRS", 3)
@@ -336,9 +351,9 @@ def test_piece_caches_are_bounded(monkeypatch):
     plain = table.encode(LONG[2][:2000])
     for k in range(300):
         pieces.digest(table, f"some{k} other{k} words{k}")
-        assert sum(map(len, table.done)) <= 100 and sum(map(len, table.fine)) <= 100
+        assert sum(map(len, table.done)) <= 100
     n, *_ = pieces.digest(table, LONG[2])
-    assert n > len(plain) and not any(len(x) > pieces.CACHE_LONGEST for x in [*table.done, *table.fine])
+    assert n > len(plain) and not any(len(x) > pieces.CACHE_LONGEST for x in table.done)
 
 
 def test_empty_tables(spark):

@@ -40,8 +40,8 @@ class Best:
         order = order[rank < self.k]
         self.query, self.place, self.score = query[order], place[order], score[order]
 
-    def rows(self, queries: pa.Array, keys: list[pa.Array], schema: StructType) -> pa.RecordBatch:
-        """query, key and score of the rows kept; keys holds those of all places."""
+    def rows(self, queries: pa.Array, columns: list[list[pa.Array]], schema: StructType) -> pa.RecordBatch:
+        """query, columns and score of the rows kept; each of the columns holds the values of all places, batch by batch."""
         score = np.where(np.isposinf(self.score), np.nan, self.score)
-        found = pa.chunked_array(keys).take(pa.array(self.place)).combine_chunks()
-        return pa.RecordBatch.from_arrays([queries.take(pa.array(self.query)), found, pa.array(score, mask=np.isneginf(self.score))], names=schema.names)
+        found = [pa.chunked_array(c).take(pa.array(self.place)).combine_chunks() for c in columns]
+        return pa.RecordBatch.from_arrays([queries.take(pa.array(self.query)), *found, pa.array(score, mask=np.isneginf(self.score))], names=schema.names)

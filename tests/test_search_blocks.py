@@ -3,8 +3,10 @@
 import math
 import random
 
+import __spark_entry__ as entry
+import numpy as np
 import pytest
-from codeloom.operators import lexical
+from codeloom.operators import lexical, semantic
 from pyspark.sql import functions as F
 
 
@@ -51,3 +53,43 @@ def test_rows_of_one_key_are_one_document(spark):
     got = lexical.bm25_search(docs, spark.createDataFrame([(7, "rare")], "query_id long, query_text string"), 5).collect()
     want = math.log1p((4 - 1 + 0.5) / 1.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (5 / 4)))
     assert [(r.query_id, r.doc_id, r["rank"]) for r in got] == [(7, 1, 1)] and got[0].score == pytest.approx(want)
+
+
+def vector_tables(spark, odd):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(300 + i, rows[i % 3][1]) for i in range(90)]
+    if odd:
+        nan, inf = math.nan, math.inf
+        rows += [(500, None), (501, [1.0] * 3), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (503, [nan] * 6), (504, [inf, 1.0, 1.0, 1.0, 1.0, 1.0]), (505, [1e200, 1.0, 1.0, 1.0, 1.0, 1.0]), (506, []), (507, [2.0, 1.0, 0.5])]
+    corpus = spark.createDataFrame([(i, v, i % 7 or None) for i, v in rows], "vec_id long, embedding array<double>, tie int").repartition(3)
+    return corpus, corpus.filter("vec_id % 20 = 0 or vec_id >= 500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@pytest.mark.parametrize("odd, tile, block, k", [(False, 2048, 2000, 5), (False, 16, 9, 30), (True, 16, 2000, 5), (True, 2048, 9, 200)])
+@pytest.mark.parametrize("digits", [None, 1])
+def test_vector_search_is_the_top_of_all_scores(spark, monkeypatch, odd, tile, block, k, digits):
+    corpus, queries = vector_tables(spark, odd)
+    scores = semantic.cosine_scores(corpus, queries, "vec_id", "embedding", "query_id", "query_vector").join(corpus.select("vec_id", "tie"), "vec_id")
+    score, ties = F.col("score") if digits is None else F.round("score", digits), [*semantic.null_last(F.col("tie")), F.col("vec_id")]
+    want = lexical.top_ranked(scores.withColumn("score", score), "query_id", [F.desc("score"), *ties], k).select("query_id", "vec_id", "tie", "score", "rank")
+    monkeypatch.setattr(semantic, "TILE", tile)
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", block)
+    got = semantic.semantic_search(corpus, queries, k, ties=ties, carry=("tie",), digits=digits)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["semantic_ranking"])
+def test_vector_queries_make_no_row_a_pair(spark, tmp_path, name):
+    rows = [(i, [math.sin(i * j + j) for j in range(1, 65)], i % 10) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    assert found.count() == {"semantic_ranking": 50, "semantic_null_ties": 300}[name]
+    assert "NestedLoopJoin" not in plan(found) and "Cartesian" not in plan(found)
+
+
+def test_rounding_is_sparks(spark):
+    x = [0.05, 0.15, 0.25, -0.25, 0.35, 0.45000000000000001, 0.15000000000000002, 0.14999999999999999, -0.04, 1.0, 0.95, -1.0, 0.949999999999, math.inf, -math.inf]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x[:-2]], "x double").select(F.round("x", 1).alias("y")).collect()]
+    assert semantic.rounded(np.array(x), 1).tolist() == want + x[-2:]

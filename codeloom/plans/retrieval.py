@@ -92,10 +92,11 @@ def semantic_null_ties(spark, d):
     """Ranks where the tie key is null for some rows: null last, and null as empty."""
     corpus, queries = _vectors(spark, d)
     corpus = corpus.select("vec_id", F.expr("case when label % 3 = 0 then null else label end").alias("tie"), "embedding")
-    s = semantic.cosine_scores(corpus, queries, "vec_id", "embedding", "query_id", "query_vector").withColumn("score", F.round("score", 1))
-    s = s.join(corpus.select("vec_id", "tie"), "vec_id")
-    last = lexical.top_ranked(s, "query_id", [F.desc("score"), *semantic.null_last(F.col("tie")), F.col("vec_id")], 30).select("query_id", "vec_id", F.lit("null_last").alias("ties"), F.col("rank").cast("long").alias("rank"))
-    empty = lexical.top_ranked(s, "query_id", [F.desc("score"), *semantic.null_as_empty(F.col("tie"), -1), F.col("vec_id")], 30).select("query_id", "vec_id", F.lit("null_as_empty").alias("ties"), F.col("rank").cast("long").alias("rank"))
+    ties = {"null_last": semantic.null_last(F.col("tie")), "null_as_empty": semantic.null_as_empty(F.col("tie"), -1)}
+    last, empty = (
+        semantic.semantic_search(corpus, queries, 30, ties=[*by, F.col("vec_id")], carry=("tie",), digits=1).select("query_id", "vec_id", F.lit(name).alias("ties"), F.col("rank").cast("long").alias("rank"))
+        for name, by in ties.items()
+    )
     return last.unionByName(empty)
 
 

@@ -80,7 +80,7 @@ def test_vector_search_is_the_top_of_all_scores(spark, monkeypatch, odd, tile, b
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["semantic_ranking"])
+@pytest.mark.parametrize("name", ["semantic_ranking", "semantic_null_ties"])
 def test_vector_queries_make_no_row_a_pair(spark, tmp_path, name):
     rows = [(i, [math.sin(i * j + j) for j in range(1, 65)], i % 10) for i in range(100)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

@@ -200,61 +200,122 @@ def number_at(open_: list[str], number: dict[str, int], node: str) -> int:
     return bisect_left(open_, number[node], key=number.__getitem__)
 
 
+def _strong_by_group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same from edges that are sorted by `root`, the groups they lie in: whole groups, as many as a batch ends, at a time."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        last = frame["root"].ne(frame["root"].iloc[-1]).sum()  # where the last group, which may go on, starts
+        if held and (last or held[-1]["root"].iloc[-1] != frame["root"].iloc[0]):
+            yield from _strong_by_depth([*held, frame.iloc[:last]])
+            held = []
+        elif last:
+            yield from _strong_by_depth([frame.iloc[:last]])
+        held.append(frame.iloc[last:])
+    yield from _strong_by_depth(held)
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node that is connected with it by edges of any direction. edges: source, target; own loops don't count.
+
+    Alternating stars: a round turns each node's larger neighbours, then its smaller ones, towards its least neighbour, so
+    rounds grow with the logarithm of the longest chain. Rounds are written to the shared folder.
+    """
+    from codeloom.operators.rounds import drop, written
+
+    pairs, path = written(edges.filter("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct(), "stars")
+    while True:
+        # stars: every node above has one edge, to a node that has none to a lesser one
+        ends = pairs.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(pairs.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or (up = 1 and top = 1)").isEmpty():
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least, least_path = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large, large_path = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        lowest, lowest_path = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs, new = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        drop(path, least_path, large_path, lowest_path)
+        path = new
+
+
 def strong_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, component (its least node) for nodes on a cycle, their own loop included. edges: source, target.
 
-    A small graph, or what is small enough after some rounds, is walked by one task. Of a larger one,
+    A small graph, or what is small enough after some rounds, is walked by one task. A larger one is first cut into its weak
+    components, which no cycle leaves: those that are small enough are walked whole, each by one task. Of the others,
     first, nodes that nothing enters or that nothing leaves are peeled off, round by round; then colours spread: in each
     outer round every node takes the largest node that reaches it, and those that reach back to their colour's node
     form its component and leave. Every step is a join and an aggregate by node; rounds are written to the shared folder.
     """
-    from codeloom.operators.rounds import written
+    from codeloom.operators.rounds import drop, written
 
     edges, _ = written(edges.select("source", "target").distinct(), "edges")
     loops = edges.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
-    left = edges.filter("source <> target")
+    left, left_path = edges.filter("source <> target"), None
+    walked = None
+    if left.count() > one_task:
+        weak = weak_components(left)
+        rooted, rooted_path = written(left.join(weak.withColumnRenamed("node", "source"), "source").select("root", "source", "target"), "rooted")
+        large, large_path = written(rooted.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > one_task).select("root"), "large")
+        small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+        walked, _ = written(small.mapInPandas(_strong_by_group, "node string, component string"), "components")
+        left, left_path = written(rooted.join(large, "root", "left_semi").select("source", "target"), "edges")
+        drop(rooted_path, large_path)
+
+    def named(found: DataFrame | None) -> DataFrame:
+        both = [x for x in (walked, found) if x is not None]
+        if not both:
+            return loops
+        out = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+        return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+
     done = None
     while True:
         while True:  # peel
             before = left.count()
             if before <= one_task:
                 break
-            left = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            left, _ = written(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "edges")
+            entered = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            old = left_path
+            left, left_path = written(entered.join(entered.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "edges")
+            drop(*filter(None, [old]))
             if left.count() == before:
                 break
         if before == 0:
             break
         if before <= one_task:
             found, _ = written(left.repartition(1).mapInPandas(_strong_by_depth, "node string, component string"), "components")
-            alone = found if done is None else found.unionByName(_least_named(done))
-            return alone.unionByName(loops.join(alone.select("node"), "node", "left_anti"))
+            return named(found if done is None else found.unionByName(_least_named(done)))
         nodes = left.select(F.col("source").alias("node")).distinct()
-        colour, _ = written(nodes.withColumn("colour", F.col("node")), "colours")
+        colour, colour_path = written(nodes.withColumn("colour", F.col("node")), "colours")
         while True:
             spread = left.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("c"))
-            new, _ = written(colour.join(spread, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("changed")), "colours")
+            new, new_path = written(colour.join(spread, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("changed")), "colours")
+            drop(colour_path)
             changed = not new.filter("changed").isEmpty()
-            colour = new.select("node", "colour")
+            colour, colour_path = new.select("node", "colour"), new_path
             if not changed:
                 break
         # backwards from each colour's own node, within the colour
         inside = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").filter("a = b").select("source", "target")
-        members, _ = written(colour.filter("node = colour"), "members")
+        members, members_path = written(colour.filter("node = colour"), "members")
         while True:
             more = inside.join(members.select(F.col("node").alias("target"), "colour"), "target").select(F.col("source").alias("node"), "colour").distinct().join(members, "node", "left_anti")
-            grown, _ = written(members.unionByName(more), "members")
+            grown, grown_path = written(members.unionByName(more), "members")
             same = grown.count() == members.count()
-            members = grown
+            drop(members_path)
+            members, members_path = grown, grown_path
             if same:
                 break
+        drop(colour_path)
         done = members if done is None else done.unionByName(members)
         gone = members.select("node")
-        left, _ = written(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"), "edges")
-    if done is None:
-        return loops
-    sized = _least_named(done)
-    return sized.unionByName(loops.join(sized.select("node"), "node", "left_anti"))
+        old = left_path
+        left, left_path = written(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"), "edges")
+        drop(*filter(None, [old]))
+    return named(None if done is None else _least_named(done))
 
 
 def _least_named(members: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import numeric
 from codeloom.functions.text import tokens
-from codeloom.operators import chunks, context, evaluation, fusion, lexical, semantic
+from codeloom.operators import chunks, context, evaluation, fusion, holding, lexical, semantic
 from codeloom.operators.rounds import spread
 
 from ._common import sql_tokens, table
@@ -193,16 +193,7 @@ def context_plan(spark, d):
 
 
 def _relevance(spark, d):
-    q, t = asked(spark, d), docs(spark, d)
-    # a document holds an item if it holds its first words after white space, looked up among the items' first words, and then all of it
-    q = q.withColumn("head", F.substring(F.regexp_replace("query_text", r"^\s+", ""), 1, 24))
-    # texts stay behind: heads are met by ids alone, then the few texts that may hold an item are compared
-    n = spread(t).select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\S.{23}))"), F.lit(1)))).alias("head"))
-    near = n.join(q.filter(F.length("head") == 24).select("query_id", "head"), "head").select("query_id", "doc_id")
-    held = near.join(t.select("doc_id", "text"), "doc_id").join(q.select("query_id", "query_text"), "query_id").filter(F.contains("text", "query_text"))
-    # items without so many characters have no such head and are looked for in every text
-    short = t.join(F.broadcast(q.filter(F.length("head") < 24)), F.contains("text", "query_text"))
-    return held.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct().withColumn("grade", F.lit(2))
+    return holding.holding(spread(docs(spark, d)), asked(spark, d)).withColumn("grade", F.lit(2))
 
 
 def relevance(spark, d):

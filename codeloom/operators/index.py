@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import lexical, semantic, snapshots
 from codeloom.operators.provenance import canonical_json
+from codeloom.operators.rounds import written
+
+#: Ids of changed documents go to all tasks if they take no more bytes than this; of more, texts and postings are shuffled to them.
+BROADCAST = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ def index_identity(config: IndexConfig, snapshot: DataFrame) -> str:
 
 @dataclass
 class Index:
-    """Tables under a folder: documents (id, content_hash, text), postings (id, term, length, tf; one for the empty term of each document), statistics, vectors (id, content_hash, vector)."""
+    """Tables under a folder: documents (id, content_hash, text), postings (id, length, terms, tf: a row for each document, its terms in order), statistics, vectors (id, content_hash, vector)."""
 
     spark: SparkSession
     folder: str
@@ -46,25 +50,39 @@ class Index:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
+def _store(rows: DataFrame, folder: str, name: str) -> None:
+    rows.write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/{name}")
+
+
+def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The ids whose documents (id, content_hash) aren't the same, as often each, in both tables. What has no hash counts as changed."""
+    both = new.select("id", "content_hash", F.lit(1).alias("n")).unionByName(old.select("id", "content_hash", F.lit(-1).alias("n")))
+    differ = both.groupBy("id", "content_hash").agg(F.sum("n").alias("n")).filter("n <> 0 or content_hash is null")
+    ids, _ = written(differ.filter("id is not null").select("id").distinct(), "changed")
+    size = ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 16)).first()[0] or 0
+    return F.broadcast(ids) if size <= BROADCAST else ids
+
+
 def _write(documents: DataFrame, vectors: DataFrame | None, folder: str, config: IndexConfig, old: Index | None = None) -> Index:
-    """Writes the tables; of an old index the postings and lengths of unchanged documents are taken over, so only new and changed texts are cut into tokens."""
-    documents.select("id", "content_hash", "text").write.mode("errorifexists").parquet(f"{folder}/documents")
+    """Writes the tables; of an old index the postings of unchanged documents are taken over, so only new and changed texts are cut into tokens.
+
+    Postings stay in the row of their document: neither building nor updating shuffles them by term.
+    """
+    _store(documents.select("id", "content_hash", "text"), folder, "documents")
     made = Index(documents.sparkSession, folder, config)
     fresh = made.table("documents")
-    kept = None
+    changed = None
     if old is not None:
-        kept = fresh.join(old.table("documents").select("id", "content_hash"), ["id", "content_hash"], "left_semi").select("id")
-        fresh = fresh.join(kept, "id", "left_anti")
-    marked = lexical.document_tokens(fresh, "id", "text").withColumn("terms", F.concat("terms", F.array(F.lit(lexical.LENGTH))))
-    rows = lexical.postings(marked, "id")
-    if kept is not None:
-        rows = rows.unionByName(old.table("postings").join(kept, "id", "left_semi"))
-    # by term, so that a query's terms are found together
-    rows.repartition("term").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{folder}/postings")
-    lengths = made.table("postings").filter(F.col("term") == lexical.LENGTH)
-    lexical.corpus_statistics(lengths).write.mode("errorifexists").parquet(f"{folder}/statistics")
+        changed = _changed(old.table("documents"), fresh)
+        # a document without id equals no other
+        fresh = fresh.join(changed, "id", "left_semi").unionByName(fresh.filter("id is null"))
+    rows = lexical.forward(lexical.document_tokens(fresh, "id", "text"), "id")
+    if changed is not None:
+        rows = rows.unionByName(old.table("postings").filter("id is not null").join(changed, "id", "left_anti"))
+    _store(rows, folder, "postings")
+    _store(lexical.corpus_statistics(made.table("postings")), folder, "statistics")
     if vectors is not None:
-        vectors.write.mode("errorifexists").parquet(f"{folder}/vectors")
+        _store(vectors, folder, "vectors")
     return made
 
 
@@ -82,8 +100,9 @@ def update(old: Index, documents: DataFrame, folder: str, config: IndexConfig, e
 
 
 def search(index: Index, queries: DataFrame, k: int, query: str = "query_id", query_text: str = "query_text") -> DataFrame:
-    """BM25 over the stored postings: only the asked terms' postings are read into the joins."""
-    terms = lexical.query_terms(queries, query, query_text)
-    found = index.table("postings").filter(F.col("term") != lexical.LENGTH).join(terms.select("term").distinct(), "term", "left_semi")
-    scored = lexical.weigh(terms, found, index.table("statistics"), query, "id", index.config.bm25)
-    return lexical.top_ranked(scored, query, [F.desc("score"), F.col("id")], k)
+    """query, id, score, rank by BM25 over the stored postings, as `lexical.bm25_search` over the texts: asked terms are looked up where a document's postings are, and nothing but the best rows moves."""
+    if k < 1:
+        raise ValueError("k is at least 1")
+    terms, asked = lexical.asked_terms(queries, query, query_text)
+    found, _ = written(lexical.looked_up(index.table("postings"), "id", asked), "counts")
+    return lexical.search_counted(found, index.table("statistics"), terms, asked, k, "id", query, index.config.bm25)

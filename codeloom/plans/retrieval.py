@@ -50,12 +50,13 @@ def bm25_ranking(spark, d):
 def index_search(spark, d):
     """bm25_ranking over a stored index, built from four fifths of the documents and brought up to date with all."""
     from codeloom.operators import index
-    from codeloom.operators.rounds import folder_of
+    from codeloom.operators.rounds import drop, folder_of
 
     rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"), "text")
-    config, folder = index.IndexConfig(), folder_of(spark, "index")
-    old = index.build(rows.filter("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))).withColumn("content_hash", F.md5("text")), f"{folder}/old", config)
-    new = index.update(old, rows, f"{folder}/new", config)
+    config, before, after = index.IndexConfig(), folder_of(spark, "index"), folder_of(spark, "index")
+    old = index.build(rows.filter("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))).withColumn("content_hash", F.md5("text")), before, config)
+    new = index.update(old, rows, after, config)
+    drop(before)
     return index.search(new, asked(spark, d), K).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

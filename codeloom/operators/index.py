@@ -14,7 +14,7 @@ from codeloom.operators import lexical, semantic, snapshots
 from codeloom.operators.provenance import canonical_json
 from codeloom.operators.rounds import written
 
-#: Ids of changed documents go to all tasks if they take no more bytes than this; of more, texts and postings are shuffled to them.
+#: Ids of changed documents go to all tasks in blocks of about so many bytes.
 BROADCAST = 32 << 20
 
 
@@ -50,36 +50,38 @@ class Index:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
-def _store(rows: DataFrame, folder: str, name: str) -> None:
-    rows.write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/{name}")
+def _store(rows: DataFrame, folder: str, name: str, mode: str = "errorifexists") -> None:
+    rows.write.mode(mode).option("compression", "zstd").parquet(f"{folder}/{name}")
 
 
-def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The ids whose documents (id, content_hash) aren't the same, as often each, in both tables. What has no hash counts as changed."""
+def _changed(old: DataFrame, new: DataFrame) -> tuple[DataFrame, int]:
+    """The ids whose documents (id, content_hash) aren't the same, as often each, in both tables, and the blocks they make. What has no hash counts as changed."""
     both = new.select("id", "content_hash", F.lit(1).alias("n")).unionByName(old.select("id", "content_hash", F.lit(-1).alias("n")))
     differ = both.groupBy("id", "content_hash").agg(F.sum("n").alias("n")).filter("n <> 0 or content_hash is null")
     ids, _ = written(differ.filter("id is not null").select("id").distinct(), "changed")
     size = ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 16)).first()[0] or 0
-    return F.broadcast(ids) if size <= BROADCAST else ids
+    return ids, max(1, -(-size // BROADCAST))
 
 
 def _write(documents: DataFrame, vectors: DataFrame | None, folder: str, config: IndexConfig, old: Index | None = None) -> Index:
     """Writes the tables; of an old index the postings of unchanged documents are taken over, so only new and changed texts are cut into tokens.
 
-    Postings stay in the row of their document: neither building nor updating shuffles them by term.
+    Postings stay in the row of their document: nothing is shuffled by term. Nor are texts or postings shuffled to find what changed; they are read once for each block of changed ids.
     """
     _store(documents.select("id", "content_hash", "text"), folder, "documents")
     made = Index(documents.sparkSession, folder, config)
-    fresh = made.table("documents")
-    changed = None
-    if old is not None:
-        changed = _changed(old.table("documents"), fresh)
-        # a document without id equals no other
-        fresh = fresh.join(changed, "id", "left_semi").unionByName(fresh.filter("id is null"))
-    rows = lexical.forward(lexical.document_tokens(fresh, "id", "text"), "id")
-    if changed is not None:
-        rows = rows.unionByName(old.table("postings").filter("id is not null").join(changed, "id", "left_anti"))
-    _store(rows, folder, "postings")
+    texts = made.table("documents")
+    cut = lambda fresh: lexical.forward(lexical.document_tokens(fresh, "id", "text"), "id")
+    if old is None:
+        _store(cut(texts), folder, "postings")
+    else:
+        changed, blocks = _changed(old.table("documents"), texts)
+        for b in range(blocks):
+            ids, new, known = (df if blocks == 1 else df.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for df in (changed, texts, old.table("postings")))
+            # a document without id equals no other
+            fresh = new.join(F.broadcast(ids), "id", "left_semi").unionByName(new.filter("id is null"))
+            kept = known.filter("id is not null").join(F.broadcast(ids), "id", "left_anti")
+            _store(cut(fresh).unionByName(kept), folder, "postings", "append" if b else "errorifexists")
     _store(lexical.corpus_statistics(made.table("postings")), folder, "statistics")
     if vectors is not None:
         _store(vectors, folder, "vectors")
